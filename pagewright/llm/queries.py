@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import packing, tokens
+from . import packing, sentences, tokens
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -16,6 +17,25 @@ def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["setting"]: int(r["amount"]) for r in table(spark, sf_dir, "job_limit").collect()}
 
 
+def _sentences(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
+    """The two tables of problem 4 with what(text) of each row; a re-delivered row counts once."""
+    pages = table(spark, sf_dir, "page_text").filter(F.col("text_origin") == "native")
+    lines = table(spark, sf_dir, "public_challenges")
+    rows = pages.select(F.lit("page_text").alias("table_name"), F.col("page_id").alias("row_key"), what(F.col("text")).alias("s")).unionAll(
+        lines.select(F.lit("public_challenges").alias("table_name"), F.col("case_id").alias("row_key"), what(F.col("expected_line")).alias("s"))
+    )
+    return rows.dropDuplicates(["table_name", "row_key"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir, sentences.starts).select("table_name", "row_key", F.explode("s").alias("start_pos"))
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sentences(spark, sf_dir, sentences.sentences).select("table_name", "row_key", F.posexplode("s").alias("number", "s"))
+    return rows.select("table_name", "row_key", "number", "s.start", "s.end", "s.sentence")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
