@@ -12,6 +12,7 @@ space only. Positions are 0-based code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,7 +22,10 @@ DOT, LEADER, SEP = "", "", ""
 #: White space, line ends and characters without width, as Java character classes or patterns.
 BLANK = r"\t    -   　"
 SPACE = rf"[\s{BLANK}]"
-LINE_END = r"(?>\r\n|[\n\r\x0B\f\x85  ])"
+TRIMMED = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+LINE_END = r"[\n\r\x0B\f\x85  ](?:(?<=\r)\n)?+"
+#: Where LOOKS and WIDE, half-width marks and private-use characters lie: a few ranges, as classes are searched range by range.
+ODD = "\u0370-\u052f０-９Ａ-Ｚａ-ｚ｡-｣\ue000-\ue0ff"
 NO_WIDTH = r"­​-‍⁠﻿"
 #: Greek and Cyrillic letters, and the Latin ones that they look like.
 LOOKS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕКМНОРСТХаеорсухѕіјΙԁ"
@@ -31,8 +35,8 @@ WIDE = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B),
 USUAL = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
 #: Abbreviations that a name follows, that a number or code follows, and that never end a sentence.
 TITLES = "Dr Mr Mrs Ms Prof Capt Col Gen Lt Sgt Rev Hon St Jr Sr ThS TS PGS GS BS KS TP Tp".split()
-NUMBERED = "No Nos Nr Fig Figs Tab Sec Secs Eq Vol Ch Art p pp tr P Q Tx Đ H".split()
-INNER = ["vs", "cf", "approx", f"i{DOT}e", f"e{DOT}g"]
+NUMBERED = "No № Nos Nr Fig Figs Tab Sec Secs Eq Vol Ch Art p pp tr P Q Tx Đ H".split()
+INNER = ["vs", "cf", "approx", r"i\.e", r"e\.g"]
 #: Closing marks, and Japanese words by which a sentence goes on after a quotation.
 CLOSERS, QUOTES = "”’」』）)\\]\"'", "“”「」『』"
 GOES_ON = "と(?!くに|ころ|きに|もに)|って|など|を|の(?!ち)|に(?!わか)|も(?!し|ちろん)|、|，|,"
@@ -40,7 +44,7 @@ GOES_ON = "と(?!くに|ころ|きに|もに)|って|など|を|の(?!ち)|に(?
 
 def _words(words: list[str]) -> str:
     """An alternation of words, longest first, whose letters may have a character without width between them."""
-    return "|".join(f"[{NO_WIDTH}]?".join(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    return "|".join(f"[{NO_WIDTH}]?".join(re.findall(r"\\?.", w)) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
 def _re(c: Column, pattern: str, by: str) -> Column:
@@ -60,21 +64,24 @@ def _if_any(v: Column, chars: str, then: Callable[[Column], Column]) -> Column:
 def _view(text: Column) -> Column:
     """The text with equal length and few kinds of characters; private-use characters of the text are masked first."""
     odd = LOOKS + WIDE + "｡｢｣" + DOT + LEADER + SEP
-    return _if_any(text, odd, lambda t: F.translate(t, odd, LATIN + USUAL + "。「」" + "�" * 3))
+    return _if_any(text, ODD, lambda t: F.translate(t, odd, LATIN + USUAL + "。「」" + "�" * 3))
 
 
-def _before(words: str) -> str:
-    """A dot that one of the words, as a whole word, stands before; written so that the search is for dots."""
-    return rf"\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{words})\.)"
+def _after(words: str) -> str:
+    """Behind a dot: one of the words, as a whole word, stands before the dot. So the search is for dots."""
+    return rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{words})\.)"
 
 
 def _latin(v: Column) -> Column:
     """Masks, then separators, for scripts with spaces."""
     v = _re(v, r"\.(?:(?=\.)|(?<=\.\.))", LEADER)
-    v = _re(v, rf"\.(?=[{NO_WIDTH}]*[\p{{L}}\p{{N}}])", DOT)
-    v = _re(v, _before(_words(TITLES + INNER)), DOT)
-    v = _re(v, _before(_words(NUMBERED)) + rf"(?={SPACE}*+(?:\p{{N}}|\p{{Lu}}{{1,4}}-))", DOT)
-    v = _re(v, _before(r"(?!I)\p{Lu}") + rf"(?={SPACE}++[{NO_WIDTH}]*+\p{{Lu}})", DOT)
+    masked = [
+        rf"(?=[{NO_WIDTH}]*[\p{{L}}\p{{N}}])",
+        _after(_words(TITLES + INNER)),
+        _after(_words(NUMBERED)) + rf"(?={SPACE}*+(?:\p{{N}}|\p{{Lu}}{{1,4}}-))",
+        _after(r"(?!I)\p{Lu}") + rf"(?={SPACE}++[{NO_WIDTH}]*+\p{{Lu}})",
+    ]
+    v = _re(v, rf"\.(?:{'|'.join(masked)})", DOT)
     v = _quoted(v)
     follows = rf"(?={SPACE}++[{NO_WIDTH}]*+[^\p{{Ll}}\s{SEP}])"
     v = _re(v, rf"([.!?]++[{CLOSERS}]*+){follows}", f"$1{SEP}")
@@ -90,7 +97,7 @@ def _quoted(v: Column) -> Column:
 
 def _japanese(v: Column) -> Column:
     """Masks, then separators, for Japanese."""
-    v = _if_any(v, ".!?", lambda x: F.translate(_re(x, rf"\.(?={SPACE}*[\p{{N}}a-z])", DOT), "!?", "！？"))
+    v = _if_any(_re(v, rf"\.(?={SPACE}*[\p{{N}}a-z])", DOT), "!?", lambda x: F.translate(x, "!?", "！？"))
     v = _quoted(v)
     closed = rf"[。！？]++{SPACE}*+[」』”）)]++(?!{SPACE}*+(?:{GOES_ON}))"
     v = _re(v, rf"({closed}|[。！？]++(?!{SPACE}*+[」』”）)]))", f"$1{SEP}")
@@ -106,15 +113,20 @@ def marked(text: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """ARRAY<STRUCT<start INT, end INT>> of the sentences: 0-based, end exclusive; empty for a null or blank text."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return _cut(text, lambda at, n: F.struct((at + n["all"] - n["led"]).alias("start"), (at + n["cut"]).alias("end")), "struct<start:int,end:int>")
+
+
+def _cut(text: Column, one: Callable[[Column, Column], Column], kind: str) -> Column:
+    """ARRAY<kind> of one(offset, lengths) for each piece between separators that isn't blank."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
 
     def size(piece: Column) -> Column:
         """A piece's length, and its length without the white space before it, and without that behind it."""
-        return F.struct(F.length(piece).alias("all"), F.length(_re(piece, rf"^{SPACE}++", "")).alias("led"), F.length(_re(piece, rf"{SPACE}++$", "")).alias("cut"))
+        return F.struct(F.length(piece).alias("all"), F.length(F.ltrim(piece, F.lit(TRIMMED))).alias("led"), F.length(F.rtrim(piece, F.lit(TRIMMED))).alias("cut"))
 
     def step(acc: Column, n: Column) -> Column:
-        one = F.struct((acc["at"] + n["all"] - n["led"]).alias("start"), (acc["at"] + n["cut"]).alias("end"))
-        return F.struct((acc["at"] + n["all"]).alias("at"), F.when(n["led"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+        out = F.when(n["led"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], one(acc["at"], n)))
+        return F.struct((acc["at"] + n["all"]).alias("at"), out.alias("out"))
 
     pieces = F.transform(F.split(marked(text), SEP), size)
     return F.coalesce(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]), none)
@@ -122,7 +134,7 @@ def spans(text: Column) -> Column:
 
 def starts(text: Column) -> Column:
     """ARRAY<INT> of the sentences' first positions."""
-    return F.transform(spans(text), lambda s: s["start"])
+    return _cut(text, lambda at, n: at + n["all"] - n["led"], "int")
 
 
 def sentences(text: Column) -> Column:
