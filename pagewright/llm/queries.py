@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import packing, sentences, tokens
+from . import packing, pieces, sentences, tokens
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -17,6 +17,19 @@ def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["setting"]: int(r["amount"]) for r in table(spark, sf_dir, "job_limit").collect()}
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = _limits(spark, sf_dir)
+    return pieces.split_oversized(table(spark, sf_dir, "page_text"), "page_id", "text", limits["piece_max_chars"], limits["piece_overlap_chars"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).filter(F.col("boundary").isNotNull()).select("page_id", "boundary").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).dropDuplicates(["page_id", "piece"])
+
+
 def _sentences(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
     """The two tables of problem 4 with what(text) of each row; a re-delivered row counts once."""
     pages = table(spark, sf_dir, "page_text").filter(F.col("text_origin") == "native")
