@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import packing, pieces, sentences, tokens
+from . import looks, packing, pieces, sentences, tokens
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -30,6 +30,29 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["page_id", "piece"])
 
 
+#: table_name, key, document and text of the tables of problem 3.
+_LOOKS = (("page_text", "page_id", "document_id", "text"), ("retrieval_query", "query_id", "document_id", "question"), ("public_challenges", "case_id", "document", "expected_line"))
+
+
+def _forms(spark: SparkSession, sf_dir: str, keep_text: bool) -> DataFrame:
+    """The one form of each value of the three tables; a re-delivered row counts once."""
+    rows = None
+    for name, key, document, text in _LOOKS:
+        t = table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), F.col(document).alias("document"), F.xxhash64(text).alias("stored"), F.col(text).alias("value"))
+        rows = t if rows is None else rows.unionAll(t)
+    forms = looks.canonical(rows, "value", ["table_name", "row_key", "document", "stored"], keep_text)
+    return forms.dropDuplicates(["table_name", "row_key"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = _forms(spark, sf_dir, keep_text=False).drop("canonical").filter(F.col("digest").isNotNull() & F.col("document").isNotNull())
+    return looks.same_look_pairs(forms, ["table_name", "document"], "row_key", "stored").select("table_name", "key_a", "key_b")
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir, keep_text=True).select("table_name", "row_key", "canonical")
+
+
 def _sentences(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
     """The two tables of problem 4 with what(text) of each row; a re-delivered row counts once."""
     pages = table(spark, sf_dir, "page_text").filter(F.col("text_origin") == "native")
