@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import looks, packing, pieces, sentences, tokens
+from . import looks, packing, pieces, sentences, splits, tokens
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -30,6 +30,24 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["page_id", "piece"])
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.components(table(spark, sf_dir, "refinement"), "record_id", "document", "question")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = materialize(_members(spark, sf_dir), "members")
+    shares = [(r["split_name"], r["share"]) for r in table(spark, sf_dir, "split_plan").collect()]
+    kept = splits.split_records(members, "record_id", shares)
+    groups = members.groupBy("component").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("component").startswith("0"))
+    return splits.salted(kept, groups, "component", "record_id").select("record_id", F.substring("component", 2, 1 << 30).alias("group_id"))
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = materialize(_members(spark, sf_dir), "members")
+    shares = [(r["split_name"], r["share"]) for r in table(spark, sf_dir, "split_plan").collect()]
+    return splits.split_records(members, "record_id", shares).withColumn("component", F.substring("component", 2, 1 << 30))
+
+
 #: table_name, key, document and text of the tables of problem 3.
 _LOOKS = (("page_text", "page_id", "document_id", "text"), ("retrieval_query", "query_id", "document_id", "question"), ("public_challenges", "case_id", "document", "expected_line"))
 
