@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import looks, packing, pieces, sentences, splits, tokens
+from . import looks, packing, pieces, sentences, splits, tokens, truncation
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -108,6 +108,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(materialize(_packed(spark, sf_dir), "packed"))
 
 
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).filter("truncated").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, sf_dir))
+
+
+def p8_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [n for n in globals() if n[0] == "p" and n[1:2].isdigit()]
     return {n: globals()[n] for n in names}
