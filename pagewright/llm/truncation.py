@@ -34,7 +34,7 @@ TAIL = 40
 #: What software puts where it cuts a text; a broken character.
 MARKS = r"(?:\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{3}|�+))+\s*$"
 #: Width of a bin of log-odds, and the bins that far values count as.
-BIN, LEAST, MOST = 0.25, 0, 28
+BIN, LEAST, MOST = 0.25, 8, 28
 #: The threshold where a language's log-odds have no two modes; the most that a field limit adds.
 USUAL, LIMIT_BONUS = 5.5, 1.5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
