@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import looks, packing, pieces, sentences, splits, tokens, truncation
+from . import looks, packing, pieces, scans, sentences, splits, tokens, truncation
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -90,6 +90,19 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("table_name", "row_key", "number", "s.start", "s.end", "s.sentence")
 
 
+def _scans(spark: SparkSession, sf_dir: str, paragraphs_too: bool) -> DataFrame:
+    titles = table(spark, sf_dir, "document_catalog").select(F.col("document_id").alias("document"), "title")
+    return scans.read_scans(table(spark, sf_dir, "page_text"), "page_id", "document_id", "text", "status", "text_origin", titles, paragraphs_too)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, False).select("page_id", F.explode("found").alias("f")).select("page_id", "f.line_no", "f.kind")
+
+
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, True).select("page_id", "repaired")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
