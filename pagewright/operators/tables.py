@@ -117,5 +117,5 @@ def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
 def unequal(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 1e-12) -> DataFrame:
     """Keys whose values differ by more than a relative tolerance, zero only equal to zero, or that one side lacks."""
     j = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full")
-    same = F.when(F.col("_b") == 0, F.col("_a") == 0).otherwise(F.abs(F.col("_a") - F.col("_b")) <= tolerance * (1 + F.abs(F.col("_b"))))
+    same = F.when((F.col("_a") == 0) | (F.col("_b") == 0), F.col("_a") == F.col("_b")).otherwise(F.abs(F.col("_a") - F.col("_b")) <= tolerance * (1 + F.abs(F.col("_b"))))
     return j.filter(~F.coalesce(same, F.lit(False))).select(key, F.col("_a").alias("left_value"), F.col("_b").alias("right_value"))

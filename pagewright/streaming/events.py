@@ -17,7 +17,7 @@ def status_changes(log: DataFrame, job: str, ts: str, order: str, status: str) -
 def pending_timeouts(log: DataFrame, job: str, ts: str, order: str, pending: Column, limit_seconds: float) -> DataFrame:
     """job and timed_out_at: the first row at which a job that was pending from its start is so beyond the limit."""
     w = Window.partitionBy(job).orderBy(ts, order)
-    seconds = F.unix_micros(F.col(ts)) / 1e6
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     out = log.withColumn("_left", F.max((~pending).cast("int")).over(w)).withColumn("_s", seconds - F.first(seconds).over(w))
     return out.filter((F.col("_left") == 0) & (F.col("_s") > limit_seconds)).groupBy(job).agg(F.min(ts).alias("timed_out_at"))
 
@@ -32,7 +32,7 @@ def heartbeats(log: DataFrame, job: str, ts: str, order: str, every: str = "30 s
 def progress(log: DataFrame, job: str, ts: str, order: str, total: int, emit_every: int = 1) -> DataFrame:
     """Completed, percent, rate by second and expected seconds left at every n-th row of a job."""
     w = Window.partitionBy(job).orderBy(ts, order)
-    s = F.unix_micros(F.col(ts)) / 1e6
+    s = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     out = log.withColumn("completed", F.row_number().over(w)).withColumn("_e", s - F.first(s).over(w))
     rate = F.when(F.col("_e") > 0, F.col("completed") / F.col("_e"))
     out = out.withColumn("percent", F.round(100.0 * F.col("completed") / total, 6)).withColumn("rate", F.round(rate, 6)).withColumn("seconds_left", F.round((total - F.col("completed")) / rate, 6))
@@ -43,7 +43,7 @@ def stages(log: DataFrame, stage: str, kind: str, ts: str) -> DataFrame:
     """stage, started_at, ended_at, outcome and seconds; a stage without an end is running."""
     end = F.col(kind).isin("completed", "failed")
     out = log.groupBy(stage).agg(F.min(F.when(F.col(kind) == "started", F.col(ts))).alias("started_at"), F.max(F.when(end, F.col(ts))).alias("ended_at"), F.max_by(F.when(end, F.col(kind)), F.when(end, F.col(ts))).alias("outcome"))
-    return out.withColumn("outcome", F.coalesce("outcome", F.lit("running"))).withColumn("seconds", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
+    return out.withColumn("outcome", F.coalesce("outcome", F.lit("running"))).withColumn("seconds", (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6)
 
 
 def deduplicated(events: DataFrame, key: str, ts: str, lateness: str = "1 day") -> DataFrame:
