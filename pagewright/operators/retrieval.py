@@ -7,12 +7,20 @@ Every page counts in N and in the mean length, pages without text too, and has a
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import materialize, rows_shuffled
+
+#: Size of the bit set of terms that queries ask for.
+BITS = 1 << 26
 
 
 def check_parameters(k1: float, b: float) -> None:
@@ -20,24 +28,95 @@ def check_parameters(k1: float, b: float) -> None:
         raise ValueError("k1 must be positive and b within 0 and 1")
 
 
+def _folding(fold: str) -> Callable[[str], str]:
+    from unicodedata import normalize
+
+    return {"nfkc_casefold": lambda t: normalize("NFKC", t).casefold(), "lower": str.lower}[fold]
+
+
+def _tokens_of(fold: str) -> Callable[[str], list[str]]:
+    """functions.text.tokens for a Python worker, where a page's tokens are counted before any row is made of them."""
+    import regex
+
+    segments, f = regex.compile(r"[\p{L}\p{N}]+").findall, _folding(fold)
+
+    def tokens(text: str) -> list[str]:
+        out: list[str] = []
+        for s in segments(f(text)):
+            out.append("w:" + s)
+            n = len(s)
+            if n > 1:
+                out += ["c2:" + s[i : i + 2] for i in range(n - 1)]
+                if n > 2:
+                    out += ["c3:" + s[i : i + 3] for i in range(n - 2)]
+        return out
+
+    return tokens
+
+
+def _bit(document: str, term: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{document}\0{term}".encode("utf-8", "surrogatepass")) % BITS
+
+
 def query_terms(queries: DataFrame, fold: str) -> DataFrame:
     """query_id, document_id and term, each distinct token once."""
-    t = queries.withColumn("_f", X.folded(F.coalesce("question", F.lit("")), fold))
-    return t.select("query_id", "document_id", F.explode(F.array_distinct(X.tokens(F.col("_f")))).alias("term"))
+
+    @F.pandas_udf("array<string>")
+    def terms(s):  # noqa: ANN001, ANN202
+        tokens = _tokens_of(fold)
+        return s.map(lambda t: list(dict.fromkeys(tokens(t or ""))))
+
+    return queries.select("query_id", "document_id", F.explode(terms(F.col("question"))).alias("term"))
+
+
+def _asked_bits(asked: DataFrame) -> np.ndarray:
+    """A bit set of (document, term), of fixed size: at most BITS / 64 rows reach the driver, at any size."""
+
+    @F.pandas_udf("bigint")
+    def bit(d, t):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([_bit(x, y) for x, y in zip(d, t)], dtype="int64")
+
+    spots = asked.select(bit(F.coalesce("document_id", F.lit("")).cast("string"), "term").alias("spot")).distinct()
+    words = spots.groupBy((F.col("spot") / 8).cast("bigint").alias("w")).agg(F.bit_or(F.pow(F.lit(2), F.col("spot") % 8).cast("int")).alias("b")).toPandas()
+    out = np.zeros(BITS // 8, np.uint8)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.uint8)
+    return out
 
 
 def statistics(pages: DataFrame, terms: DataFrame, fold: str) -> tuple[DataFrame, DataFrame]:
     """Term counts of the pages for the document's query terms only, with df; and N and the mean length of documents.
 
-    A page is folded once; only tokens that some query of the document asks for leave the scan's side of the join.
+    A page is folded, cut and counted in one pass. A bit set of the terms asked for keeps nearly all others from ever
+    being rows; the semi-join with the terms is exact.
     """
-    f = pages.select("document_id", "page_number", X.folded(F.coalesce("text", F.lit("")), fold).alias("_f"))
-    sized = f.withColumn("len", X.token_count(F.col("_f")))
-    lengths = sized.groupBy("document_id").agg(F.count("*").alias("n_pages"), F.avg("len").alias("avg_len"))
-    # Counted within the page before any shuffle, then met with the terms that are asked for.
-    page_terms = sized.select("document_id", "page_number", "len", F.explode(X.tokens(F.col("_f"))).alias("term"))
     asked = terms.select("document_id", "term").distinct()
-    tf = page_terms.join(asked, ["document_id", "term"], "left_semi").groupBy("document_id", "page_number", "len", "term").agg(F.count("*").alias("tf"))
+    bits = pages.sparkSession.sparkContext.broadcast(_asked_bits(asked).tobytes())
+    document, number = (pages.schema[c].dataType.simpleString() for c in ("document_id", "page_number"))
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held = _tokens_of(fold), bits.value
+        for batch in batches:
+            d, n, ln, tm, tf = [], [], [], [], []
+            for doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = tokens(text or "")
+                found = [(t, k) for t, k in Counter(own).items() if held[(b := _bit("" if doc is None else str(doc), t)) >> 3] >> (b & 7) & 1]
+                found.append((None, 0))
+                d += [doc] * len(found)
+                n += [page] * len(found)
+                ln += [len(own)] * len(found)
+                tm += [t for t, _ in found]
+                tf += [k for _, k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(d, arrow[document]), pa.array(n, arrow[number]), pa.array(ln, pa.int64()), pa.array(tm, pa.string()), pa.array(tf, pa.int64())], names=["document_id", "page_number", "len", "term", "tf"])
+
+    spread = pages.select("document_id", "page_number", "text").repartition(rows_shuffled(pages), "document_id", "page_number")
+    counted = materialize(spread.mapInArrow(run, f"document_id {document}, page_number {number}, len bigint, term string, tf bigint"), "terms")
+    lengths = counted.filter(F.col("term").isNull()).groupBy("document_id").agg(F.count("*").alias("n_pages"), F.avg("len").alias("avg_len"))
+    tf = counted.filter(F.col("term").isNotNull()).join(asked, ["document_id", "term"], "left_semi")
     df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df"))
     return tf.join(df, ["document_id", "term"]), lengths
 
@@ -48,7 +127,7 @@ def scores(pages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.7
     A score's summands are added in the order of terms, so that it doesn't depend on the plan; it is rounded to 9 digits.
     """
     check_parameters(k1, b)
-    terms = query_terms(queries, fold)
+    terms = materialize(query_terms(queries, fold), "asked")
     tf, lengths = statistics(pages, terms, fold)
     idf = F.log1p((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -71,7 +150,7 @@ def top_k(pages: DataFrame, queries: DataFrame, k: int, **options: object) -> Da
     """The first k pages of rank(), without making a row for each page without a hit: among those the first k can matter only."""
     if k < 1:
         raise ValueError("k must be positive")
-    found = scores(pages, queries, **options)
+    found = materialize(scores(pages, queries, **options), "scores")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_number")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
     by_page = Window.partitionBy("document_id").orderBy("page_number")
@@ -102,13 +181,14 @@ def extractive_answers(pages: DataFrame, queries: DataFrame, top: int = 2, minim
     query_id, answer, evidence_pages, confidence, abstain, reason. Lines of the pages with a positive score are ranked
     by BM25 among themselves; coverage is the share of the query's tokens that the best line holds.
     """
-    best = scores(pages, queries, fold=fold)
+    best = materialize(scores(pages, queries, fold=fold), "best")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_number")
     window = best.filter("score > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
     lines = pages.select("document_id", "page_number", F.posexplode(F.split("text", "\n")).alias("i", "text")).filter(X.strip(F.col("text")) != "")
     passages = window.select("query_id", "document_id", "page_number").join(lines, ["document_id", "page_number"])
     passages = passages.select(F.col("query_id").alias("document_id"), (F.col("page_number").cast("bigint") * 1000 + F.col("i")).alias("page_number"), "text", F.col("page_number").alias("page"))
     own = queries.select("query_id", F.col("query_id").alias("document_id"), "question")
+    passages = materialize(passages, "passages")
     ranked = scores(passages, own, fold=fold)
     found = ranked.groupBy("query_id").agg(F.max_by("page_number", F.struct("score", -F.col("page_number"))).alias("page_number"), F.max("score").alias("score"))
     line = found.join(passages.withColumnRenamed("document_id", "query_id"), ["query_id", "page_number"])
