@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import rows_shuffled
 
 
 def set_f1(a: Column, b: Column) -> Column:
@@ -162,21 +166,70 @@ def sign_flip(deltas: DataFrame, most: int = 20) -> DataFrame:
     return flips.agg(F.round(F.avg((F.abs(total) / F.col("n") >= observed - 1e-15).cast("double")), 9).alias("p_value"), F.first("n").alias("documents"))
 
 
+#: Draws of a lot, about.
+DRAWS = 2_000_000
+
+
+class Draws:
+    """What random.Random in a state gives for randrange(n), n numbers at a time."""
+
+    def __init__(self, state: tuple, n: int):
+        self.n, self.bits = n, n.bit_length()
+        if self.bits > 32:
+            raise ValueError("at most 2^32 - 1 documents")
+        words, self.left = state[1], state[3] if len(state) > 3 else np.zeros(0, np.int64)
+        self.generator = np.random.MT19937()
+        self.generator.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint32), "pos": int(words[-1])}}
+
+    def state(self) -> tuple:
+        """A state to go on from; like random.getstate(), and the numbers drawn but not taken yet."""
+        s = self.generator.state["state"]
+        return (3, (*s["key"].tolist(), s["pos"]), None, self.left)
+
+    def take(self) -> np.ndarray:
+        """The next n numbers: the uppermost bits of words of 32, those too large left out."""
+        while len(self.left) < self.n:
+            words = self.generator.random_raw(max(64, (self.n - len(self.left)) * 5 // 4)) >> np.uint64(32 - self.bits)
+            self.left = np.concatenate([self.left, words[words < self.n].astype(np.int64)])
+        out, self.left = self.left[: self.n], self.left[self.n :]
+        return out
+
+
 def bootstrap_interval(deltas: DataFrame, document: str, seed: int, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """The percentile interval of document means, with the generator random.Random(seed).randrange.
 
-    The draws are a sequence by nature and are made on the driver: resamples times documents numbers. Documents go by name.
+    The draws are one sequence by nature: a first pass over it, made in one task, notes the generator's state where each
+    lot of draws begins; the lots are drawn again from there in parallel. The documents' deltas, sent to all tasks, and
+    the means are all that the driver holds. Documents go by name.
     """
     if resamples < 1 or not 0 < confidence < 1:
         raise ValueError("resamples must be positive and confidence within 0 and 1")
-    values = [r["delta"] for r in deltas.orderBy(document).select("delta").collect()]
-    if not values:
+    values = deltas.orderBy(document).select("delta").toPandas()["delta"].to_numpy(np.float64)
+    if not len(values):
         raise ValueError("at least one document is needed")
-    rng = random.Random(seed)
-    n = len(values)
+    if np.isnan(values).any():
+        raise ValueError("every document needs a delta")
     spark = deltas.sparkSession
-    draws = spark.createDataFrame([(k, [values[rng.randrange(n)] for _ in range(n)]) for k in range(resamples)], "k int, v array<double>")
-    means = draws.select((F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n).alias("m")).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    sent = spark.sparkContext.broadcast(values)
+    lot = max(1, DRAWS // len(values))
+    lots = -(-resamples // lot)
+
+    def states(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = Draws(random.Random(seed).getstate(), len(sent.value))
+        for k in range(lots):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(drawn.state())], pa.binary())], names=["lot", "state"])
+            for _ in range(min(lot, resamples - k * lot)):
+                drawn.take()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, state in zip(*(c.to_pylist() for c in batch.columns)):
+                drawn = Draws(pickle.loads(state), len(sent.value))
+                means = [float(sent.value[drawn.take()].sum()) / len(sent.value) for _ in range(min(lot, resamples - k * lot))]
+                yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
+
+    begins = spark.range(1, numPartitions=1).mapInArrow(states, "lot int, state binary")
+    means = begins.repartition(min(lots, rows_shuffled(deltas)), "lot").mapInArrow(draw, "m double").agg(F.array_sort(F.collect_list("m")).alias("m"))
     tail = (1 - confidence) / 2
     at = lambda p: F.get("m", F.lit(min(int(p * resamples), resamples - 1)))
     return means.select(at(tail).alias("lower"), at(1 - tail).alias("upper"))
