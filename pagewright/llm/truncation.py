@@ -198,11 +198,11 @@ def find_truncated(df: DataFrame, key: str, text: str, lang: str, source: str, u
     light = full.select("key", "source", "lang", "md5", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), end_of(F.col("text")).alias("tail"), F.substring("text", -4, 4).contains("�").alias("broken"))
     light = materialize(light, "ends")
     # Each distinct text counts once, with the language of its smallest key.
-    own = light.groupBy("md5").agg(F.min_by(F.struct("tail", "lang"), F.struct("key")).alias("t")).select("md5", "t.*")
+    own = light.groupBy("md5").agg(F.min_by(F.struct("tail", "lang"), F.struct("key", "lang")).alias("t")).select("md5", "t.*")
     ends = own.groupBy("tail", "lang").agg(F.count("*").alias("n"))
     contexts = ends.select("tail", "lang", "n", F.posexplode(_contexts(F.col("tail"), F.col("lang"))).alias("k", "h"))
     contexts = materialize(contexts, "contexts")
-    texts = full.select("md5", "text", "lang").dropDuplicates(["md5"])
+    texts = full.groupBy("md5").agg(F.min_by(F.struct("text", "lang"), F.struct("key", "lang")).alias("t")).select("md5", "t.*")
     goes_on = _goes_on(texts, contexts)
     counts = contexts.groupBy("h").agg(F.sum("n").alias("ends")).join(goes_on, "h", "left").select("h", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
     counts = materialize(counts, "counts")
@@ -218,7 +218,9 @@ def find_truncated(df: DataFrame, key: str, text: str, lang: str, source: str, u
     limits = {k: x for k, h in histogram.items() if (x := _threshold(h)) is not None}
     threshold = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang")), F.lit(usual)) if limits else F.lit(usual)
     caps = _limits(light)
-    joined = salted(light.withColumn("_by", F.coalesce(F.col("key").cast("string"), F.lit(""))), odds.withColumnRenamed("lang", "lang2"), "tail", "_by", "left").filter(F.col("lang2").isNull() | (F.col("lang") == F.col("lang2")))
+    # Odds go by text, with the language it was counted with: a copy may say another.
+    by_text = materialize(salted(own, odds.withColumnRenamed("lang", "lang2"), "tail", "md5").filter(F.col("lang") == F.col("lang2")).select("md5", F.col("lang").alias("counted"), "log_odds"), "texts")
+    joined = salted(light.drop("tail").withColumn("_by", F.coalesce(F.col("key").cast("string"), F.lit(""))), by_text, "md5", "_by", "left").withColumn("lang", F.coalesce("counted", "lang")).drop("counted")
     # Sources are few; their limits are at most two rows each.
     size = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
     capped = joined.join(caps.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left")
