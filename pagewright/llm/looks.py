@@ -40,7 +40,6 @@ FROM_KANA = {k: c for c, k in LIKE_KANA.items()}
 #: Words are held back up to so many for each task before they are sent on.
 HELD = 200_000
 
-_same = str.maketrans(SAME)
 _latin = str.maketrans(LOOKS, LATIN)
 _foreign = re.compile(f"[{LOOKS}]")
 _true_foreign = re.compile(f"(?![{LOOKS}])[Ͱ-ԯ]")
@@ -68,7 +67,7 @@ def fold(text: str) -> str:
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
             text = _no_width.sub("", text)
-    return text.translate(_same) if _odd_same.search(text) else text
+    return _odd_same.sub(lambda m: SAME[m[0]], text) if _odd_same.search(text) else text
 
 
 def _trigram(text: str, at: int, c: str) -> str:
