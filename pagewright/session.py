@@ -40,12 +40,38 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Tables that materialize wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark).rstrip('/')}/pagewright/{run}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(run, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialize returned and that no frame in use reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+        _written[t.sparkSession.sparkContext.applicationId].remove(t._stored_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application wrote and hasn't discarded; for when its results are stored elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def rows_shuffled(df: DataFrame, at_least: int = 1) -> int:
