@@ -1,9 +1,12 @@
 """Problem 2: train, validation and test splits that keep related records together.
 
 Records that name one entity, in either of two columns and however it is written, are one component. Components are
-found by contraction: each round, every component takes the smallest label that it meets through an entity of the second
-column, and entities that see one component only leave. Minima are aggregated before the shuffle, joins on entities are
-salted, and each round is written to the shared folder.
+found by contraction: each round, vertices are put in an order drawn by a hash of vertex and round, every vertex hooks
+onto the first that it meets through an entity of the second column, and hooks are followed to their roots, which are the
+next round's vertices; entities that see one root only leave. In a drawn order at most half of the vertices are expected
+to be roots, however they are named and linked, so rounds grow with the logarithm of their number. A round's map holds the vertices
+still alive; in the end the maps are composed backwards. Firsts are aggregated before the shuffle, joins on entities are
+salted, each round is written to the shared folder, and what it no longer needs is removed.
 
 Method of the splits: largest-differencing balance. From the histogram of the components' weights, equal weights are
 dealt evenly to many bins, and the rest of each weight is a tuple of bins; the two tuples of the largest differences are
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import materialize
+from ..session import discard, materialize
 from .looks import NO_WIDTH
 
 #: What stands for a missing id, in lower case.
@@ -60,20 +63,46 @@ def components(records: DataFrame, key: str, first: str, second: str) -> DataFra
     ids = materialize(ids, "ids")
     edges = ids.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.concat(F.lit("0"), first).alias("c"), F.concat(F.lit("1"), second).alias("q")).distinct()
     edges = materialize(edges, "edges")
-    # Where each entity is: one of the first column at itself, one of the second at the smallest that it meets.
-    place = edges.groupBy(F.col("q").alias("v")).agg(F.min("c").alias("c"))
-    firsts = ids.filter(F.col(first).isNotNull()).select(F.concat(F.lit("0"), first).alias("v")).distinct()
-    place = materialize(place.unionByName(firsts.withColumn("c", F.col("v"))), "place")
+    # Where each entity of the second column is at first: at the smallest of the first that it meets.
+    place = materialize(edges.groupBy(F.col("q").alias("v")).agg(F.min("c").alias("c")), "place")
+    maps: list[DataFrame] = []
     while True:
-        seen = edges.groupBy("q").agg(F.min("c").alias("m"), F.max("c").alias("x")).filter("m < x").select("q", "m")
-        live = materialize(salted(edges, seen, "q", "c"), "live")
+        drawn = edges.withColumn("o", F.struct(F.xxhash64(F.lit(len(maps)), "c").alias("h"), F.col("c").alias("c")))
+        seen = drawn.groupBy("q").agg(F.min("o").alias("m"), F.max("o").alias("x")).filter("m < x").select("q", "m")
+        live = materialize(salted(drawn, seen, "q", "c"), "live")
+        discard(edges)
         if live.isEmpty():
+            discard(live)
             break
-        step = materialize(live.groupBy("c").agg(F.min("m").alias("p")), "step")
-        jump = step.join(step.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-        jump = materialize(jump, "jump")
-        edges = materialize(salted(live.select("c", "q"), jump, "c", "q").select(F.col("p").alias("c"), "q").distinct(), "edges")
-        place = materialize(salted(place, jump, "c", "v", "left").select("v", F.coalesce("p", "c").alias("c")), "place")
+        hooks = materialize(live.groupBy("c").agg(F.min("m").getField("c").alias("p")), "hooks")
+        while True:
+            # A root's hook is its own; once all are followed twice without a change, every vertex is at its root.
+            up = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+            upper = up.select(F.col("p").alias("pp"), F.col("pp").alias("ppp"))
+            jumped = materialize(hooks.join(up, "p").join(upper, "pp").select("c", F.col("ppp").alias("p"), (F.col("ppp") != F.col("p")).alias("moved")), "hooks")
+            discard(hooks)
+            hooks = jumped
+            if hooks.filter("moved").isEmpty():
+                break
+        maps.append(hooks)
+        edges = materialize(salted(live.select("c", "q"), hooks.select("c", "p"), "c", "q").select(F.col("p").alias("c"), "q").distinct(), "edges")
+        discard(live)
+    # Roots of all vertices that ever were alive, then the smallest vertex of each root as its label.
+    roots = None
+    for m in reversed(maps):
+        now = m.select("c", "p")
+        if roots is not None:
+            later = roots.select(F.col("c").alias("p"), F.col("p").alias("r"))
+            now = salted(now, later, "p", "c", "left").select("c", F.coalesce("r", "p").alias("p"))
+        now = materialize(now, "roots")
+        discard(m, *([roots] if roots is not None else []))
+        roots = now
+    if roots is not None:
+        labels = roots.groupBy("p").agg(F.min("c").alias("label"))
+        named = materialize(salted(roots, labels, "p", "c").select("c", "label"), "labels")
+        discard(roots)
+        moved = salted(place, named, "c", "v", "left").select("v", F.coalesce("label", "c").alias("c"))
+        place = moved.unionByName(named.select(F.col("c").alias("v"), F.col("label").alias("c")))
     vertex = F.coalesce(F.concat(F.lit("0"), first), F.concat(F.lit("1"), second), F.concat(F.lit("2"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     rows = ids.withColumn("v", vertex).withColumn("_by", F.coalesce(F.col(key).cast("string"), F.lit("")))
     return salted(rows, place, "v", "_by", "left").select(key, first, second, F.coalesce("c", "v").alias("component"))
@@ -131,6 +160,7 @@ def assign(members: DataFrame, shares: Sequence[tuple[str, float]], bins: int =
     histogram = [(r["weight"], r["n"]) for r in groups.groupBy("weight").agg(F.count("*").alias("n")).orderBy("weight").collect()]
     sums, rest = difference_bins(histogram, bins)
     names = allocate(sums, shares)
+    # As small as the histogram, and so are its arrays together: at most bins for each weight.
     deal = spark.createDataFrame(
         [(w, m // bins * bins, rest.get(w, [])) for w, m in histogram],
         T.StructType([T.StructField("weight", T.LongType()), T.StructField("even", T.LongType()), T.StructField("rest", T.ArrayType(T.IntegerType()))]),
@@ -141,7 +171,7 @@ def assign(members: DataFrame, shares: Sequence[tuple[str, float]], bins: int =
     before = ranked.groupBy("weight", "b").agg(F.count("*").alias("n"))
     before = before.select("weight", "b", (F.sum("n").over(Window.partitionBy("weight").orderBy("b")) - F.col("n")).alias("before"))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("weight", "b").orderBy("component")) - 1)
-    ranked = ranked.join(before, ["weight", "b"]).withColumn("r", F.col("r") + F.col("before")).join(deal, "weight")
+    ranked = ranked.join(before, ["weight", "b"]).withColumn("r", F.col("r") + F.col("before")).join(F.broadcast(deal), "weight")
     odd = F.get("rest", (F.col("r") - F.col("even")).cast("int"))
     ranked = ranked.withColumn("bin", F.when(F.col("r") < F.col("even"), F.pmod("r", F.lit(bins)).cast("int")).otherwise(odd))
     return ranked.select("component", "weight", "bin", F.element_at(F.array(*map(F.lit, names)), F.col("bin") + 1).alias("split"))

@@ -219,3 +219,17 @@ def test_own_hyphens_and_numbers_stay():
     assert scans.page_number("- 12 -", False) and scans.page_number("Trang 5/ll", False) and scans.page_number("7", True) and scans.page_number("３ページ", False)
     assert not scans.page_number("7", False) and not scans.page_number("2018.", True) and not scans.page_number("19,341", True) and not scans.page_number("", True)
     assert scans.line_key("Zel1mark report 2O18 |") == scans.line_key("ZELLMARK REPORT 2018")
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    from pagewright.llm import splits
+
+    written = []
+    real = splits.materialize
+    monkeypatch.setattr(splits, "materialize", lambda df, name="t": written.append(name) or real(df, name))
+    n = 10_000
+    rows = [(2 * i, f"d{i:05d}", f"q{i:05d}") for i in range(n)] + [(2 * i + 1, f"d{i + 1:05d}", f"q{i:05d}") for i in range(n)] + [(-1, "x", None), (-2, None, "y"), (-3, None, None), (-4, None, "q00007")]
+    got = {r["r"]: r["component"] for r in splits.components(spark.createDataFrame(rows, "r bigint, d string, q string"), "r", "d", "q").collect()}
+    assert {got[k] for k in got if k >= 0} == {"0d00000"} and len(got) == 2 * n + 4
+    assert (got[-1], got[-2], got[-3], got[-4]) == ("0x", "1y", "2-3", "0d00000")
+    assert written.count("live") <= 20
