@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .splits import salted
 
-#: Characters of the longest context; weight of a shorter context; words of 64 bits of the bitmap.
-ORDER, WEIGHT, WORDS = 8, 20.0, 1 << 20
+#: Characters of the longest context; weight of a shorter context; bits of the bitmap, as a power of 2: at least, at most.
+ORDER, WEIGHT, LEAST_BITS, MOST_BITS = 8, 20.0, 20, 28
+#: Contexts of fewer characters than this are those of many ends each.
+SHORT = 5
 #: Characters kept of an end, with room for a mark of truncation.
 TAIL = 40
 #: What software puts where it cuts a text; a broken character.
@@ -53,20 +55,18 @@ def end_of(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tail, MARKS, ""), r"[\s  　]+$", "")
 
 
-def _hashes(points: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
-    """For each k the hash of the k characters up to each place; digits are alike. salt: the language's number at each place."""
+def _mixed(points: np.ndarray) -> np.ndarray:
+    """Hashes of characters; digits are alike."""
     points = points.astype(np.uint64)
     points[(points >= 48) & (points <= 57)] = 48
     mixed = (points + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    h, out = salt.astype(np.uint64), []
-    back = mixed
-    for k in range(1, ORDER + 1):
-        h = (h ^ back) * _MULTIPLIER
-        h ^= h >> np.uint64(29)
-        out.append(h.view(np.int64))
-        back = np.concatenate([np.zeros(1, np.uint64), back[:-1]])
-    return out
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _longer(h: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Hashes of contexts made longer by one character before them."""
+    h = (h ^ mixed) * _MULTIPLIER
+    return h ^ (h >> np.uint64(29))
 
 
 def _number(lang: str) -> int:
@@ -80,19 +80,24 @@ def _contexts(tail: Column, lang: Column) -> Column:
     def run(tails: pd.Series, langs: pd.Series) -> pd.Series:
         out = []
         for t, lang in zip(tails, langs):
-            p = np.frombuffer((t or "")[-ORDER:].encode("utf-32-le", "surrogatepass"), np.uint32)
-            out.append([int(h[-1]) for h in _hashes(p, np.full(len(p), _number(lang), np.uint64))[: len(p)]] if len(p) else [])
+            h, own = np.array([_number(lang)], np.uint64), []
+            for c in _mixed(np.frombuffer((t or "")[-ORDER:].encode("utf-32-le", "surrogatepass"), np.uint32))[::-1]:
+                h = _longer(h, c)
+                own.append(int(h.view(np.int64)[0]))
+            out.append(own)
         return pd.Series(out)
 
     return run(tail, lang)
 
 
 def _bitmap(contexts: DataFrame) -> np.ndarray:
-    """The bitmap of the contexts' hashes; at most WORDS rows reach the driver, at any size."""
-    spots = contexts.select(F.pmod("h", F.lit(WORDS * 64)).alias("spot")).distinct()
-    words = spots.groupBy((F.col("spot") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(WORDS, np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    """The bitmap of the contexts' hashes, sized by their number; at most 2^MOST_BITS / 64 rows reach the driver, at any size."""
+    size = contexts.agg(F.count("*")).first()[0]
+    bits = 1 << min(max(LEAST_BITS, (16 * size).bit_length()), MOST_BITS)
+    spots = contexts.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("spot")).distinct()
+    words = spots.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
@@ -113,12 +118,18 @@ def _goes_on(texts: DataFrame, contexts: DataFrame) -> DataFrame:
                 sizes = np.array([len(t) for t, _ in part])
                 salt = np.repeat(np.array([_number(x) for _, x in part], np.uint64), sizes)
                 at = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                last = np.repeat(sizes, sizes) - 1
-                found = []
-                for k, h in enumerate(_hashes(points, salt)):
-                    spot = np.mod(h, WORDS * 64).astype(np.int64)
-                    hit = (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
-                    found.append(h[(hit > 0) & (at >= k) & (at < last)])
+                mixed, found = _mixed(points), []
+                place = np.flatnonzero(at < np.repeat(sizes, sizes) - 1)
+                h = salt[place]
+                for k in range(ORDER):
+                    # An end's context is one of an end without its first character too, so only those that were go on.
+                    inside = at[place] >= k
+                    place, h = place[inside], h[inside]
+                    h = _longer(h, mixed[place - k])
+                    spot = (h & np.uint64(len(words) * 64 - 1)).astype(np.int64)
+                    hit = ((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)) > 0
+                    place, h = place[hit], h[hit]
+                    found.append(h.view(np.int64))
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
                 part = []
@@ -207,8 +218,9 @@ def find_truncated(df: DataFrame, key: str, text: str, lang: str, source: str, u
     counts = contexts.groupBy("h").agg(F.sum("n").alias("ends")).join(goes_on, "h", "left").select("h", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
     counts = materialize(counts, "counts")
     # Short contexts are few, and many ends share them.
-    short = salted(contexts.filter("k < 2"), counts.join(contexts.filter("k < 2").select("h").distinct(), "h", "left_semi"), "h", "tail")
-    long = contexts.filter("k >= 2").join(counts, "h")
+    few = contexts.filter(F.col("k") < SHORT - 1)
+    short = salted(few, counts.join(few.select("h").distinct(), "h", "left_semi"), "h", "tail")
+    long = contexts.filter(F.col("k") >= SHORT - 1).join(counts, "h")
     each = short.select("tail", "lang", "k", "ends", "goes_on").unionByName(long.select("tail", "lang", "k", "ends", "goes_on"))
     odds = each.groupBy("tail", "lang").agg(F.collect_list(F.struct("k", "ends", "goes_on")).alias("c")).select("tail", "lang", _log_odds(F.col("c")).alias("log_odds"))
     odds = materialize(odds, "odds")
