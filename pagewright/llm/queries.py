@@ -110,7 +110,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _limits(spark, sf_dir)["container_tokens"]
     sizes = materialize(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
-    return packing.pack(sizes, "doc_id", "tokens", [top >> 3, top >> 2, top >> 1, top])
+    return packing.pack(sizes, "doc_id", "tokens", packing.default_costs([top >> 3, top >> 2, top >> 1, top]))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

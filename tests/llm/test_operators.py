@@ -38,7 +38,7 @@ def test_packing_splits_only_what_must_be_and_wastes_little(spark):
     sizes = [rng.randint(0, 600) for _ in range(800)] + [4096, 4097, 9000, None, 0]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k bigint, n int")
     caps = [512, 1024, 2048, 4096]
-    rows = packing.pack(df, "k", "n", caps, shard_items=300).collect()
+    rows = packing.pack(df, "k", "n", packing.default_costs(caps), shard_items=300).collect()
     whole = {}
     for r in rows:
         whole[r["k"]] = whole.get(r["k"], 0) + r["tokens"]
@@ -50,8 +50,8 @@ def test_packing_splits_only_what_must_be_and_wastes_little(spark):
         used[r["container"], r["capacity"]] += r["tokens"]
     assert all(u <= c and c in caps and not any(x >= u for x in caps if x < c) for (_, c), u in used.items())
     assert sum(c for _, c in used) - sum(used.values()) < 0.02 * sum(used.values())
-    assert sorted(r["k"] for r in packing.split_keys(packing.pack(df, "k", "n", caps), "k").collect()) == [801, 802]
-    assert packing.pack(df.filter("k < 0"), "k", "n", caps).count() == 0
+    assert sorted(r["k"] for r in packing.split_keys(packing.pack(df, "k", "n", packing.default_costs(caps)), "k").collect()) == [801, 802]
+    assert packing.pack(df.filter("k < 0"), "k", "n", packing.default_costs(caps)).count() == 0
 
 
 # --- 4: sentences
@@ -233,3 +233,23 @@ def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
     assert {got[k] for k in got if k >= 0} == {"0d00000"} and len(got) == 2 * n + 4
     assert (got[-1], got[-2], got[-3], got[-4]) == ("0x", "1y", "2-3", "0d00000")
     assert written.count("live") <= 20
+
+
+def test_capacities_are_chosen_jointly():
+    import random
+
+    from pagewright.llm import packing
+
+    caps, rng = (512, 1024, 2048, 4096), random.Random(4)
+    for sizes in ([rng.randint(300, 500) for _ in range(400)], [rng.choice([700, 1500, 2040, 4000]) for _ in range(300)], [min(4096, int(rng.expovariate(1 / 600))) for _ in range(3000)], [0, 0], []):
+        for costs in (packing.default_costs(caps), {c: c + c * c / 1024 for c in caps}, {512: 600.0, 1024: 900.0, 2048: 2300.0, 4096: 5000.0}):
+            where, got = packing.best_fit(sizes, costs)
+            used = {b: sum(s for s, w in zip(sizes, where) if w == b) for b in set(where)}
+            assert len(used) == len(got) and all(used[b] <= got[b] for b in used)
+            alone = packing._fill(sizes, {4096: costs[4096]})[1]
+            assert sum(costs[c] for c in got) <= sum(costs[4096] for _ in alone)
+            if len(sizes) > 2 and costs[4096] > 4200:
+                assert sum(costs[c] for c in got) < 0.97 * sum(costs[4096] for _ in alone) and len(set(got)) > 0
+    sizes = [rng.choice([2040, 2048, 1100, 900, 4090]) for _ in range(500)]
+    got = packing.best_fit(sizes, packing.default_costs(caps))[1]
+    assert len(set(got)) > 1 and sum(got) < 4096 * len(packing._fill(sizes, {4096: 1.0})[1])
