@@ -6,7 +6,8 @@ by those of that script, only in tokens of mixed script, and only where the resu
 A token that is written wholly in look-alikes counts as mixed with the text around it, if that is of the other script.
 
 Two kinds of tokens are repaired:
-* runs of Latin, Greek and Cyrillic letters: the Latin form must be a token of the corpus, free of foreign letters;
+* runs of Latin, Greek and Cyrillic letters. The dominant script is that of most letters that look like none of another
+  script; where all letters are ambiguous, that of the text around. The form in that script must be a token of the corpus;
 * runs of katakana and of characters that look like katakana (and the reverse): a run of katakana letters with such
   characters in it must be a katakana run of the corpus; where a katakana letter stands alone, the two forms are compared
   by how often the corpus has them between the same neighbours.
@@ -29,20 +30,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .sentences import LATIN, LOOKS
 
 #: Characters without width; letters that NFKC keeps apart from the usual ones, marks among them.
 NO_WIDTH = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 SAME = {"Ð": "Đ", "Ɖ": "Đ", "‐": "-", "‑": "-", "‒": "-", "−": "-", "ʼ": "’", "\r": "\n"}
 #: Characters of other scripts that look like katakana letters.
-LIKE_KANA = {"一": "ー", "口": "ロ", "力": "カ", "二": "ニ", "八": "ハ", "夕": "タ", "卜": "ト", "工": "エ", "へ": "ヘ", "才": "オ", "千": "チ", "三": "ミ"}
+LIKE_KANA = {"一": "ー", "口": "ロ", "力": "カ", "二": "ニ", "八": "ハ", "夕": "タ", "卜": "ト", "工": "エ", "へ": "ヘ", "才": "オ", "千": "チ", "三": "ミ", "り": "リ", "べ": "ベ", "ぺ": "ペ"}
 FROM_KANA = {k: c for c, k in LIKE_KANA.items()}
+#: Letters that look alike in Latin, Cyrillic and Greek; a dot where a script has none.
+ALIKE = "AАΑ BВΒ CС. EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ WԜ. XХΧ YУΥ YҮΥ Z.Ζ aа. cс. dԁ. eе. hһ. iі. jј. lӏ. oоο pрρ qԛ. sѕ. v.ν wԝ. xх. yу. yү.".split()
+#: Salts of joins on texts that many rows may share.
+SALTS = 16
 #: Words are held back up to so many for each task before they are sent on.
 HELD = 200_000
 
-_latin = str.maketrans(LOOKS, LATIN)
-_foreign = re.compile(f"[{LOOKS}]")
-_true_foreign = re.compile(f"(?![{LOOKS}])[Ͱ-ԯ]")
+_SCRIPTS = ("latin", "cyrillic", "greek")
+#: For each script, letters of the others as its own.
+_into: dict[str, dict[str, str]] = {x: {} for x in _SCRIPTS}
+for _row in ALIKE:
+    for _to, _own in zip(_SCRIPTS, _row):
+        for _c in _row:
+            if "." not in (_own, _c) and _c != _own:
+                _into[_to].setdefault(_c, _own)
+_ambiguous = {c for row in ALIKE for c in row} - {"."}
+_foreign = re.compile("[Ͱ-ԯ]")
 _letters = re.compile(r"[^\W\d_]+")
 _marked = re.compile("[A-Za-zÀ-ÖØ-öø-ʯ̀-ԯḀ-ỿ]+")
 _latin_words = re.compile("[A-Za-z]+")
@@ -92,17 +103,38 @@ def _variants(run: str) -> list[str]:
     return out
 
 
+def _script(c: str) -> str | None:
+    """The script of a letter; None for marks and letters of all other scripts."""
+    if c < "\u0250" or "Ḁ" <= c <= "ỿ":
+        return "latin" if c.isalpha() else None
+    return "greek" if "Ͱ" <= c < "Ѐ" else "cyrillic" if "Ѐ" <= c < "\u0530" else None
+
+
+def dominant(text: str) -> str | None:
+    """The script of most letters that look like none of another script; None where there are no such letters."""
+    n = dict.fromkeys(_SCRIPTS, 0)
+    for c in text:
+        if c not in _ambiguous and (script := _script(c)):
+            n[script] += 1
+    best = max(_SCRIPTS, key=n.get)
+    return best if n[best] else None
+
+
 def suspects(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
     """(token, [(form, what the vocabulary must hold)]) for each token of a folded text that may need repair."""
     out: dict[str, list[tuple[str, str]]] = {}
     if text.isascii():
         return []
     if _foreign.search(text):
-        own = _true_foreign.search(text)
+        around = None
         for w in set(_marked.findall(text)):
-            # A token without letters of its own script goes by the text around it.
-            if _foreign.search(w) and not _true_foreign.search(w) and (not own or re.search("[A-Za-z]", w)):
-                form = unicodedata.normalize("NFC", w.translate(_latin))
+            if not _foreign.search(w):
+                continue
+            around = around or dominant(text) or "latin"
+            target = dominant(w) or around
+            form = "".join(_into[target].get(c, c) if _script(c) not in (None, target) else c for c in w)
+            form = unicodedata.normalize("NFC", form)
+            if form != w and all(_script(c) in (None, target) for c in form):
                 out[w] = [(form, "w:" + form)]
     if _cjk.search(text):
         for run in set(_kana_run.findall(text)):
@@ -121,7 +153,7 @@ def suspects(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
 def words_of(text: str) -> Iterator[str]:
     """What a folded text adds to the vocabulary."""
     for w in _letters.findall(text) if not _cjk.search(text) else _latin_words.findall(text):
-        if not _foreign.search(w):
+        if not _foreign.search(w) or len({_script(c) for c in w} - {None}) == 1:
             yield "w:" + w
     if not text.isascii() and _cjk.search(text):
         for run in _kana_run.findall(text):
@@ -238,11 +270,23 @@ def same_look_pairs(forms: DataFrame, group: list[str], key: str, stored: str) -
     """Pairs key_a < key_b of one group with one digest whose stored values differ. Blank and null texts are in no pair.
 
     forms has a row for each key: group, key, digest, and stored, a hash of the stored value. Only digests that occur
-    with two different stored values are joined, so groups of exact copies add nothing.
+    with two different stored values are joined, so groups of exact copies add nothing; rows of one digest are spread
+    over several tasks. look_classes has the same without pairs.
     """
     on = [*group, "digest"]
     many = forms.groupBy(*on).agg(F.min(stored).alias("lo"), F.max(stored).alias("hi")).filter("lo < hi").select(*on)
     rows = forms.join(many, on)
-    a = rows.select(*on, F.col(key).alias("key_a"), F.col(stored).alias("stored_a"))
-    b = rows.select(*on, F.col(key).alias("key_b"), F.col(stored).alias("stored_b"))
-    return a.join(b, on).filter((F.col("key_a") < F.col("key_b")) & (F.col("stored_a") != F.col("stored_b"))).select(*group, "key_a", "key_b")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    a = rows.select(*on, F.col(key).alias("key_a"), F.col(stored).alias("stored_a"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
+    b = rows.select(*on, F.col(key).alias("key_b"), F.col(stored).alias("stored_b"), salts.alias("_salt"))
+    return a.join(b, [*on, "_salt"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("stored_a") != F.col("stored_b"))).select(*group, "key_a", "key_b")
+
+
+def look_classes(forms: DataFrame, group: list[str], key: str, stored: str) -> DataFrame:
+    """group, key, class_id, members and spellings of every row with a digest: the smallest key that looks the same, how many rows do, and how many ways they are stored in."""
+    on = [*group, "digest"]
+    each = forms.groupBy(*on, stored).agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    classes = each.groupBy(*on).agg(F.min("least").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    rows = forms.select(*on, key, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
+    return rows.join(classes.withColumn("_salt", salts), [*on, "_salt"]).select(*group, key, "class_id", "members", "spellings")

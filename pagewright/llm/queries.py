@@ -62,8 +62,16 @@ def _forms(spark: SparkSession, sf_dir: str, keep_text: bool) -> DataFrame:
     return forms.dropDuplicates(["table_name", "row_key"])
 
 
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir, keep_text=False).drop("canonical").filter(F.col("digest").isNotNull() & F.col("document").isNotNull())
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return looks.look_classes(_digests(spark, sf_dir), ["table_name", "document"], "row_key", "stored")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = _forms(spark, sf_dir, keep_text=False).drop("canonical").filter(F.col("digest").isNotNull() & F.col("document").isNotNull())
+    forms = _digests(spark, sf_dir)
     return looks.same_look_pairs(forms, ["table_name", "document"], "row_key", "stored").select("table_name", "key_a", "key_b")
 
 

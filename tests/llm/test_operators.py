@@ -253,3 +253,17 @@ def test_capacities_are_chosen_jointly():
     sizes = [rng.choice([2040, 2048, 1100, 900, 4090]) for _ in range(500)]
     got = packing.best_fit(sizes, packing.default_costs(caps))[1]
     assert len(set(got)) > 1 and sum(got) < 4096 * len(packing._fill(sizes, {4096: 1.0})[1])
+
+
+def test_look_alikes_go_to_the_tokens_own_script(spark):
+    from pagewright.llm import looks
+
+    rows = [(1, "мама пела дома"), (2, "мaма пела дома"), (3, "the scope of it"), (4, "the ѕсоре of it"), (5, "the sсope of it"), (6, "Αθήνα είναι"), (7, "Aθήνα είναι"), (8, "切り替え"), (9, "切リ替え"), (10, "切り替えと切り替えは"), (11, "a мaмa unseen"), (12, None), (13, ""), (14, "the scope")]
+    forms = looks.canonical(spark.createDataFrame([(k, "d", k, t) for k, t in rows], "k bigint, doc string, stored bigint, t string"), "t", ["k", "doc", "stored"])
+    got = {r["k"]: r["canonical"] for r in forms.collect()}
+    assert got[2] == got[1] == rows[0][1] and got[4] == got[5] == got[3] and got[7] == got[6] and got[9] == got[8] and got[11] == "a мама unseen" and got[12] is None and got[13] == ""
+    keyed = forms.filter("digest is not null")
+    pairs = sorted((r["key_a"], r["key_b"]) for r in looks.same_look_pairs(keyed, ["doc"], "k", "stored").collect())
+    assert pairs == [(1, 2), (3, 4), (3, 5), (4, 5), (6, 7), (8, 9)]
+    classes = {r["k"]: (r["class_id"], r["members"], r["spellings"]) for r in looks.look_classes(keyed, ["doc"], "k", "stored").collect()}
+    assert classes[5] == (3, 3, 3) and classes[10] == (10, 1, 1) and len(classes) == 12
