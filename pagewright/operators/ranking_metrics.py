@@ -45,3 +45,15 @@ def document_means(scored: DataFrame, document: str) -> DataFrame:
     """Equal-document means by k: means of the documents' means."""
     each = scored.groupBy("k", document).agg(*[F.avg(m).alias(m) for m in METRICS])
     return each.groupBy("k").agg(*[F.round(F.avg(m), 9).alias(m) for m in METRICS], F.count("*").alias("documents"))
+
+
+def ranking_violations(ranked: DataFrame, queries: DataFrame, pages: DataFrame) -> DataFrame:
+    """query_id, expected, pages and numbers of the rankings that aren't a permutation of all pages of the query's document.
+
+    ranked, queries and pages: query_id, document_id and page_number as in retrieval.rank. A page that the document lacks is a violation too.
+    """
+    sizes = pages.groupBy("document_id").agg(F.countDistinct("page_number").alias("expected"))
+    known = ranked.select("query_id", "document_id", "page_number").join(pages.select("document_id", "page_number", F.lit(1).alias("_in")).distinct(), ["document_id", "page_number"], "left")
+    each = known.groupBy("query_id").agg(F.count("*").alias("pages"), F.countDistinct("page_number").alias("numbers"), F.count_if(F.col("_in").isNull()).alias("_odd"))
+    rows = queries.select("query_id", "document_id").join(sizes, "document_id").join(each, "query_id", "left").fillna(0, ["pages", "numbers", "_odd"])
+    return rows.filter((F.col("pages") != F.col("expected")) | (F.col("numbers") != F.col("expected")) | (F.col("_odd") > 0)).select("query_id", "expected", "pages", "numbers")

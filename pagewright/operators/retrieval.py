@@ -21,6 +21,12 @@ from ..session import materialize, rows_shuffled
 
 #: Size of the bit set of terms that queries ask for.
 BITS = 1 << 26
+#: Pages and queries of one document that one task scores, at the mean.
+PAGE_BLOCK, QUERY_BLOCK = 2_000, 2_000
+#: Characters of a question at most.
+LONGEST_QUESTION = 500
+#: Statuses of pages that have no text.
+NO_TEXT = ("textless", "extraction_error")
 
 
 def check_parameters(k1: float, b: float) -> None:
@@ -81,10 +87,10 @@ def _asked_bits(asked: DataFrame) -> np.ndarray:
         return pd.Series([_bit(x, y) for x, y in zip(d, t)], dtype="int64")
 
     spots = asked.select(bit(F.coalesce("document_id", F.lit("")).cast("string"), "term").alias("spot")).distinct()
-    words = spots.groupBy((F.col("spot") / 8).cast("bigint").alias("w")).agg(F.bit_or(F.pow(F.lit(2), F.col("spot") % 8).cast("int")).alias("b")).toPandas()
-    out = np.zeros(BITS // 8, np.uint8)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.uint8)
-    return out
+    words = spots.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("b")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
 
 
 def statistics(pages: DataFrame, terms: DataFrame, fold: str) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +127,14 @@ def statistics(pages: DataFrame, terms: DataFrame, fold: str) -> tuple[DataFrame
     return tf.join(df, ["document_id", "term"]), lengths
 
 
+def _parts(pages: DataFrame, terms: DataFrame, k1: float, b: float, fold: str) -> tuple[DataFrame, DataFrame]:
+    """What each page adds for each term that is asked for: document_id, term, page_number, part; and documents' sizes."""
+    tf, lengths = statistics(pages, terms, fold)
+    idf = F.log1p((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return tf.join(lengths, "document_id").select("document_id", "term", "page_number", (idf * weight).alias("part")), lengths
+
+
 def scores(pages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, fold: str = "nfkc_casefold") -> DataFrame:
     """query_id, document_id, page_number and score of the pages that hold a term of the query.
 
@@ -128,10 +142,7 @@ def scores(pages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.7
     """
     check_parameters(k1, b)
     terms = materialize(query_terms(queries, fold), "asked")
-    tf, lengths = statistics(pages, terms, fold)
-    idf = F.log1p((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    parts = tf.join(lengths, "document_id").select("document_id", "term", "page_number", (idf * weight).alias("part"))
+    parts, _ = _parts(pages, terms, k1, b, fold)
     hits = terms.join(parts, ["document_id", "term"])
     return hits.groupBy("query_id", "document_id", "page_number").agg(F.round(F.sum("part"), 9).alias("score"))
 
@@ -145,18 +156,71 @@ def rank(pages: DataFrame, queries: DataFrame, **options: object) -> DataFrame:
     return full.select("query_id", "document_id", "page_number", "score", F.row_number().over(w).alias("rank"))
 
 
-def top_k(pages: DataFrame, queries: DataFrame, k: int, **options: object) -> DataFrame:
-    """The first k pages of rank(), without making a row for each page without a hit: among those the first k can matter only."""
+def top_scores(pages: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, fold: str = "nfkc_casefold") -> DataFrame:
+    """The k pages with the highest positive scores of each query: query_id, document_id, page_number, score, rank. Ties go by page.
+
+    A document's pages and queries are cut into blocks of a bounded size, and each pair of blocks is scored in one Arrow
+    pass that gives k rows for each query at most: a document with a large share of both is many tasks, and no hit is a row.
+    """
+    check_parameters(k1, b)
     if k < 1:
         raise ValueError("k must be positive")
-    found = materialize(scores(pages, queries, **options), "scores")
+    terms = materialize(query_terms(queries, fold), "asked")
+    parts, lengths = _parts(pages, terms, k1, b, fold)
+    asked = terms.groupBy("document_id").agg(F.countDistinct("query_id").alias("n"))
+    blocks = lengths.join(asked, "document_id").select("document_id", F.ceil(F.col("n_pages") / PAGE_BLOCK).alias("_pages"), F.ceil(F.col("n") / QUERY_BLOCK).alias("_queries"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    left = parts.join(blocks, "document_id").select("document_id", own("page_number", "_pages").alias("_p"), every("_queries").alias("_q"), "term", "page_number", "part")
+    right = terms.join(blocks, "document_id").select("document_id", own("query_id", "_queries").alias("_q"), every("_pages").alias("_p"), "term", "query_id")
+    names = ("query_id", "document_id", "page_number")
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "document_id": queries.schema["document_id"].dataType.simpleString(), "page_number": pages.schema["page_number"].dataType.simpleString()}
+
+    def score(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        numbers, place = np.unique(held.column("page_number").to_numpy(), return_inverse=True)
+        term = held.column("term").to_pylist()
+        order = np.argsort(np.array(term, object), kind="stable") if term else np.zeros(0, np.int64)
+        place, part = place[order], held.column("part").to_numpy()[order]
+        begins: dict[str, tuple[int, int]] = {}
+        for i, j in enumerate(order):
+            first, _ = begins.get(term[j], (i, 0))
+            begins[term[j]] = (first, i + 1)
+        spans: dict[object, list[tuple[int, int]]] = {}
+        for q, t in zip(wanted.column("query_id").to_pylist(), wanted.column("term").to_pylist()):
+            if t in begins:
+                spans.setdefault(q, []).append(begins[t])
+        out: list[list] = [[], [], []]
+        for q, own_spans in spans.items():
+            total = np.zeros(len(numbers))
+            for x, y in own_spans:
+                total[place[x:y]] += part[x:y]  # a page has a term once
+            total = np.round(total, 9)
+            best = np.flatnonzero(total > 0)
+            if len(best) > k:
+                best = best[total[best] >= np.partition(total[best], len(best) - k)[len(best) - k]]
+            best = best[np.lexsort((numbers[best], -total[best]))][:k]
+            out[0] += [q] * len(best)
+            out[1] += numbers[best].tolist()
+            out[2] += total[best].tolist()
+        document = wanted.column("document_id")[0].as_py() if wanted.num_rows else None
+        arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+        return pa.table({"query_id": pa.array(out[0], arrow[kinds["query_id"]]), "document_id": pa.array([document] * len(out[0]), arrow[kinds["document_id"]]), "page_number": pa.array(out[1], arrow[kinds["page_number"]]), "score": pa.array(out[2], pa.float64())})
+
+    cell = ["document_id", "_p", "_q"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, ", ".join(f"{n} {kinds[n]}" for n in names) + ", score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_number")
-    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def top_k(pages: DataFrame, queries: DataFrame, k: int, **options: object) -> DataFrame:
+    """The first k pages of rank(), without making a row for each page without a hit: among those the first k can matter only."""
+    best = materialize(top_scores(pages, queries, k, **options).drop("rank"), "best")
     by_page = Window.partitionBy("document_id").orderBy("page_number")
-    # Of 2k first pages at most k are among the best, so k fillers are left.
+    # Of 2k first pages at most k are among the best, so k fillers are left; where fewer than k are best, they are all hits.
     first = pages.select("document_id", "page_number").withColumn("_n", F.row_number().over(by_page)).filter(F.col("_n") <= 2 * k).drop("_n")
-    fill = queries.select("query_id", "document_id").join(first, "document_id").join(found.select("query_id", "page_number"), ["query_id", "page_number"], "left_anti")
+    fill = queries.select("query_id", "document_id").join(first, "document_id").join(best.select("query_id", "page_number"), ["query_id", "page_number"], "left_anti")
     both = best.unionByName(fill.withColumn("score", F.lit(0.0)).select(best.columns))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_number")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "document_id", "page_number", "score", "rank")
 
 
@@ -174,36 +238,75 @@ def select_pages(ranked: DataFrame, budget: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= budget).groupBy("query_id").agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
 
 
+ANSWER = "answer string, evidence_pages array<int>, confidence double, abstain boolean, reason string"
+
+
 def extractive_answers(pages: DataFrame, queries: DataFrame, top: int = 2, minimum_coverage: float = 0.2, fold: str = "nfkc_casefold") -> DataFrame:
     """The best line of the best pages, or an abstention with its reason.
 
-    query_id, answer, evidence_pages, confidence, abstain, reason. Lines of the pages with a positive score are ranked
-    by BM25 among themselves; coverage is the share of the query's tokens that the best line holds.
+    query_id, answer, evidence_pages, confidence, abstain, reason. Lines of the `top` pages with the highest positive scores
+    are ranked by BM25 among themselves, in one pass for each query; ties go by page and line. Coverage is the share of the
+    question's tokens that the best line holds. pages: with status, if there is one; a page whose status says that it has no
+    text has none. A question of more than LONGEST_QUESTION characters is refused.
     """
-    best = materialize(scores(pages, queries, fold=fold), "best")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_number")
-    window = best.filter("score > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
-    lines = pages.select("document_id", "page_number", F.posexplode(F.split("text", "\n")).alias("i", "text")).filter(X.strip(F.col("text")) != "")
-    passages = window.select("query_id", "document_id", "page_number").join(lines, ["document_id", "page_number"])
-    passages = passages.select(F.col("query_id").alias("document_id"), (F.col("page_number").cast("bigint") * 1000 + F.col("i")).alias("page_number"), "text", F.col("page_number").alias("page"))
-    own = queries.select("query_id", F.col("query_id").alias("document_id"), "question")
-    passages = materialize(passages, "passages")
-    ranked = scores(passages, own, fold=fold)
-    found = ranked.groupBy("query_id").agg(F.max_by("page_number", F.struct("score", -F.col("page_number"))).alias("page_number"), F.max("score").alias("score"))
-    line = found.join(passages.withColumnRenamed("document_id", "query_id"), ["query_id", "page_number"])
-    q = queries.select("query_id", "question", F.array_distinct(X.tokens(X.folded(F.coalesce("question", F.lit("")), fold))).alias("qt"))
-    out = q.join(line.withColumn("lt", X.tokens(X.folded(F.col("text"), fold))), "query_id", "left")
-    coverage = F.coalesce(F.size(F.array_intersect("qt", "lt")) / F.nullif(F.size("qt"), F.lit(0)), F.lit(0.0))
-    reason = (
-        F.when(X.strip(F.coalesce("question", F.lit(""))) == "", "EMPTY_QUERY").when(F.size("qt") == 0, "NO_SEARCHABLE_TERMS")
-        .when(F.coalesce("score", F.lit(0.0)) <= 0, "NO_MATCHING_EVIDENCE").when(coverage < minimum_coverage, "INSUFFICIENT_LEXICAL_SUPPORT")
-    )
-    out = out.withColumn("reason", reason).withColumn("coverage", coverage)
-    no = F.col("reason").isNotNull()
-    return out.select(
-        "query_id", F.when(no, "").otherwise(F.col("text")).alias("answer"), F.when(no, F.array().cast("array<int>")).otherwise(F.array(F.col("page").cast("int"))).alias("evidence_pages"),
-        F.when(no, 0.0).otherwise(F.col("coverage")).alias("confidence"), no.alias("abstain"), "reason",
-    )
+    if top < 1 or not 0 < minimum_coverage <= 1:
+        raise ValueError("top must be positive and the coverage above 0 and at most 1")
+    if "status" in pages.columns:
+        pages = pages.withColumn("text", F.when(~F.lower(X.strip(F.coalesce("status", F.lit("ok")))).isin(*NO_TEXT), F.col("text")))
+    window = top_scores(pages, queries, top, fold=fold).select("query_id", "document_id", "page_number", "rank")
+    texts = window.join(pages.select("document_id", "page_number", "text"), ["document_id", "page_number"])
+    # At most `top` pages for each query.
+    held = texts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("int").alias("page"), "text"))).alias("pages"))
+    rows = queries.select("query_id", "question").join(held, "query_id", "left")
+    k1, b = 1.2, 0.75
+
+    @F.pandas_udf(ANSWER)
+    def answer(question, pages):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        tokens = _tokens_of(fold)
+        cut: dict[str, Counter[str]] = {}
+
+        def counted(line: str) -> Counter[str]:
+            if line not in cut:
+                if len(cut) > 20_000:
+                    cut.clear()
+                cut[line] = Counter(tokens(line))
+            return cut[line]
+
+        def one(q: str | None, held: list | None) -> tuple:
+            none = lambda reason: ("", [], 0.0, True, reason)
+            if not (q or "").strip():
+                return none("EMPTY_QUERY")
+            if len(q) > LONGEST_QUESTION:
+                return none("QUESTION_TOO_LONG")
+            terms = list(dict.fromkeys(tokens(q)))
+            if not terms:
+                return none("NO_SEARCHABLE_TERMS")
+            lines = [(p["page"], t) for p in (held if held is not None else ()) for t in (p["text"] or "").split("\n") if t.strip()]
+            if not lines:
+                return none("NO_MATCHING_EVIDENCE")
+            counts = [counted(t) for _, t in lines]
+            lengths = [sum(c.values()) for c in counts]
+            mean = sum(lengths) / len(lengths)
+            total = [0.0] * len(lines)
+            for t in terms:
+                at = [(i, c[t]) for i, c in enumerate(counts) if t in c]
+                idf = math.log1p((len(lines) - len(at) + 0.5) / (len(at) + 0.5))
+                for i, n in at:
+                    total[i] += idf * n * (k1 + 1) / (n + k1 * (1 - b + b * lengths[i] / mean))
+            total = [round(x, 9) for x in total]
+            best = max(range(len(lines)), key=lambda i: (total[i], -i))
+            if total[best] <= 0:
+                return none("NO_MATCHING_EVIDENCE")
+            coverage = sum(t in counts[best] for t in terms) / len(terms)
+            if coverage < minimum_coverage:
+                return none("INSUFFICIENT_LEXICAL_SUPPORT")
+            return lines[best][1], [lines[best][0]], coverage, False, None
+
+        return pd.DataFrame([one(*r) for r in zip(question, pages)], columns=["answer", "evidence_pages", "confidence", "abstain", "reason"])
+
+    return rows.select("query_id", answer("question", "pages").alias("a")).select("query_id", "a.*")
 
 
 def page_search_order(ranking: Column, pages: Column) -> Column:

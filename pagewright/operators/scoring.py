@@ -92,22 +92,9 @@ def _each(items: Column) -> Column:
 
     @F.pandas_udf("struct<text:array<string>,number:array<string>>")
     def run(s):  # noqa: ANN001, ANN202
-        import re
-        from decimal import Decimal
-        from unicodedata import normalize
-
         import pandas as pd
 
-        number = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*(%?)\s*")
-
-        def key(t: str) -> str | None:
-            m = number.fullmatch(normalize("NFKC", t).replace(",", ""))
-            return str((Decimal(m[1]) / (100 if m[2] else 1)).normalize()) if m else None
-
-        def text(t: str) -> str:
-            return re.sub(r"\s+", " ", normalize("NFKC", t).strip().casefold()).strip(X.STRIPPED)
-
-        return pd.DataFrame({"text": [[text(t) for t in x] for x in s], "number": [[key(t) for t in x] for x in s]})
+        return pd.DataFrame({"text": [[X.comparable(t) for t in x] for x in s], "number": [[X.number_key(t) for t in x] for x in s]})
 
     return run(items)
 

@@ -14,8 +14,8 @@ from ..sources.tables import table
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """document_id, page_number and text of every page; a re-delivered page counts once."""
-    return once(table(spark, sf, "page_text").select("page_id", "document_id", F.col("number").alias("page_number"), "text"), "page_id").drop("page_id")
+    """document_id, page_number, text and status of every page; a re-delivered page counts once."""
+    return once(table(spark, sf, "page_text").select("page_id", "document_id", F.col("number").alias("page_number"), "text", "status"), "page_id").drop("page_id")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,11 +49,11 @@ def term_df(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(pages(spark, sf), questions(spark, sf), 5)
+    return R.top_k(pages(spark, sf).drop("status"), questions(spark, sf), 5)
 
 
 def bm25_topk_lower(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(pages(spark, sf), questions(spark, sf), 5, fold="lower").select("query_id", "page_number", "score", "rank")
+    return R.top_k(pages(spark, sf).drop("status"), questions(spark, sf), 5, fold="lower").select("query_id", "page_number", "score", "rank")
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -121,12 +121,34 @@ def extractive_answers(spark: SparkSession, sf: str) -> DataFrame:
     return R.extractive_answers(pages(spark, sf), questions(spark, sf))
 
 
+def extractive_answers_lower(spark: SparkSession, sf: str) -> DataFrame:
+    a = R.extractive_answers(pages(spark, sf), questions(spark, sf), fold="lower")
+    return a.select("query_id", "answer", F.get("evidence_pages", F.lit(0)).alias("page"), F.round("confidence", 9).alias("confidence"), "abstain", "reason")
+
+
+def page_relevance_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the first ten pages where several are relevant: of a question's document, those whose number has the question's remainder by 7."""
+    p, q = pages(spark, sf).drop("status"), questions(spark, sf).filter(F.col("document_id").isNotNull())
+    ranked = R.top_k(p, q, 10, fold="lower")
+    gold = q.join(p.select("document_id", "page_number"), "document_id").filter(F.col("page_number") % 7 == F.pmod("query_id", F.lit(7))).select("query_id", "page_number")
+    m = M.at_budgets(ranked, gold)
+    return m.select("query_id", "k", *[F.round(c, 9).alias(c) for c in M.METRICS])
+
+
+def ranking_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Rankings of the challenges, of which every third lacks its first page and every fifth has it twice."""
+    p, ranked = _ranked(spark, sf)
+    r = ranked.filter(~((F.col("query_id") % 3 == 0) & (F.col("rank") == 1)))
+    r = r.unionByName(ranked.filter((F.col("query_id") % 5 == 0) & (F.col("rank") == 1)))
+    return M.ranking_violations(r, _asked(p), p)
+
+
 def page_search_order(spark: SparkSession, sf: str) -> DataFrame:
     n = R.nested(_ranked(spark, sf)[1])
     return n.select("query_id", F.to_json(R.page_search_order(F.col("ranking"), F.size("ranking"))).alias("candidates"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, term_df, bm25_topk, bm25_topk_lower, bm25_case_ranks, zero_signal, select_pages, ranking_metrics, retrieval_question_average, retrieval_page_order_control, retrieval_document_average, retrieval_by_slice, challenge_summary, extractive_answers, page_search_order)}
+QUERIES = {f.__name__: f for f in (token_counts, term_df, bm25_topk, bm25_topk_lower, bm25_case_ranks, zero_signal, select_pages, ranking_metrics, retrieval_question_average, retrieval_page_order_control, retrieval_document_average, retrieval_by_slice, challenge_summary, extractive_answers, extractive_answers_lower, page_relevance_metrics, ranking_violations, page_search_order)}
 
 _SEG = "regexp_extract_all(lower(coalesce({0},'')), '[\\p{{L}}\\p{{N}}]+')"
 _LEN = "coalesce(list_sum(list_transform(" + _SEG + ", lambda s: 1+greatest(length(s)-1,0)+greatest(length(s)-2,0))),0)"
@@ -158,6 +180,21 @@ def _metrics(rank: str = "r.rank") -> str:
  m AS (SELECT query_id, k, CASE WHEN rk<=k THEN 1.0 ELSE 0.0 END recall, CASE WHEN rk<=k THEN 1.0 ELSE 0.0 END all_evidence, CASE WHEN rk<=k THEN 1.0/rk ELSE 0.0 END reciprocal_rank, CASE WHEN rk<=k THEN 1.0/rk ELSE 0.0 END average_precision, CASE WHEN rk<=k THEN 1/log2(rk+1) ELSE 0.0 END ndcg FROM hits)"""
 
 
+_EXTRACT = _PAGES.replace("p AS (SELECT DISTINCT page_id, document_id, number page_number, text FROM page_text)", "p AS (SELECT DISTINCT page_id, document_id, number page_number, CASE WHEN lower(trim(coalesce(status,'ok'))) NOT IN ('textless','extraction_error') THEN text END AS text FROM page_text)") + f""",
+ w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_number) r FROM hit WHERE score>0) WHERE r<=2),
+ ln AS (SELECT query_id, page_number, i, text FROM (SELECT query_id, page_number, unnest(range(1, len(l)+1)) i, unnest(l) AS text FROM (SELECT query_id, w.page_number, string_split(text, chr(10)) l FROM w JOIN p USING (document_id, page_number))) WHERE regexp_matches(text, '[^\\s\\x{{3000}}\\x{{a0}}\\x{{2007}}\\x{{202f}}]')),
+ sl AS (SELECT *, {_LEN.format('text')} len FROM ln), ss AS (SELECT query_id, count(*) n, avg(len) m FROM sl GROUP BY 1),
+ lt AS (SELECT query_id, page_number, i, len, term, count(*) tf FROM (SELECT query_id, page_number, i, len, unnest({_TOK.format('text')}) term FROM sl) JOIN qt USING (query_id, term) GROUP BY ALL),
+ ld AS (SELECT query_id, term, count(*) df FROM lt GROUP BY ALL),
+ lh AS (SELECT query_id, page_number, i, count(*) matched, round(sum(ln(1+(n-df+0.5)/(df+0.5)) * tf*2.2/(tf+1.2*(0.25+0.75*len/m))),9) s FROM lt JOIN ld USING (query_id, term) JOIN ss USING (query_id) GROUP BY ALL),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_number, i) r FROM lh) WHERE r=1), nt AS (SELECT query_id, count(*) terms FROM qt GROUP BY 1),
+ e AS (SELECT q.query_id, b.page_number, ln.text, matched/terms coverage, CASE WHEN NOT regexp_matches(coalesce(question,''), '[^\\s\\x{{3000}}\\x{{a0}}\\x{{2007}}\\x{{202f}}]') THEN 'EMPTY_QUERY' WHEN length(question)>500 THEN 'QUESTION_TOO_LONG' WHEN terms IS NULL THEN 'NO_SEARCHABLE_TERMS' WHEN s IS NULL OR s<=0 THEN 'NO_MATCHING_EVIDENCE' WHEN matched/terms<0.2 THEN 'INSUFFICIENT_LEXICAL_SUPPORT' END reason
+   FROM q LEFT JOIN nt USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN ln ON ln.query_id=q.query_id AND ln.page_number=b.page_number AND ln.i=b.i)"""
+_RELEVANT = _PAGES + """, gold AS (SELECT query_id, page_number FROM q JOIN p USING (document_id) WHERE page_number % 7 = query_id % 7),
+ need AS (SELECT query_id, count(*) n FROM gold GROUP BY 1), hits AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) nth FROM ranked JOIN gold USING (query_id, page_number) WHERE rank<=10),
+ cut AS (SELECT need.query_id, n, k, hits.rank, nth FROM need CROSS JOIN (SELECT unnest([1,2,3,5,10]) k) LEFT JOIN hits ON hits.query_id=need.query_id AND hits.rank<=k)
+ SELECT query_id, k, round(count(rank)/any_value(n),9) recall, CAST(count(rank)=any_value(n) AS DOUBLE) all_evidence, round(coalesce(1/min(rank),0),9) reciprocal_rank, round(coalesce(sum(nth/rank),0)/least(any_value(n),k),9) average_precision,
+  round(coalesce(sum(1/log2(rank+1)),0)/list_sum(list_transform(range(1,least(any_value(n),k)+1), lambda r: 1/log2(r+1))),9) ndcg FROM cut GROUP BY query_id, k"""
 _MEANS = ", ".join(f"round(avg({m}),9) {m}" for m in M.METRICS)
 _AVGS = ", ".join(f"avg({m}) {m}" for m in M.METRICS)
 
@@ -173,6 +210,9 @@ SQL = {
     "retrieval_page_order_control": _metrics("r.page_number") + f" SELECT k, {_MEANS}, count(*) questions FROM m GROUP BY k",
     "retrieval_document_average": _metrics() + f" SELECT k, {_MEANS}, count(*) documents FROM (SELECT k, document_id, {_AVGS} FROM m JOIN p ON p.case_id=m.query_id GROUP BY ALL) GROUP BY k",
     "retrieval_by_slice": _metrics() + f" SELECT k, slice, {_MEANS}, count(*) questions FROM m JOIN p ON p.case_id=m.query_id GROUP BY k, slice",
+    "extractive_answers_lower": _EXTRACT + " SELECT query_id, CASE WHEN reason IS NULL THEN text ELSE '' END answer, CASE WHEN reason IS NULL THEN page_number END page, CASE WHEN reason IS NULL THEN round(coverage,9) ELSE 0.0 END confidence, reason IS NOT NULL abstain, reason FROM e",
+    "page_relevance_metrics": _RELEVANT,
+    "ranking_violations": _CASES + ", r AS (SELECT query_id, document_id, page_number, rank FROM ranked WHERE NOT (query_id%3=0 AND rank=1) UNION ALL SELECT query_id, document_id, page_number, rank FROM ranked WHERE query_id%5=0 AND rank=1), n AS (SELECT document_id, count(*) n FROM p GROUP BY 1), g AS (SELECT query_id, count(r.page_number) pages, count(DISTINCT r.page_number) numbers FROM q LEFT JOIN r USING (query_id) GROUP BY 1) SELECT query_id, n expected, pages, numbers FROM g JOIN q USING (query_id) JOIN n USING (document_id) WHERE pages<>n OR numbers<>n",
     "challenge_summary": _CASES + """ SELECT slice, lang, grouping(slice)*2+grouping(lang) AS level, count(*) cases, count(*) FILTER (answerable) answerable_cases,
       round(avg(CASE WHEN rank<=1 THEN 1.0 ELSE 0.0 END) FILTER (answerable),9) recall_1, round(avg(CASE WHEN rank<=3 THEN 1.0 ELSE 0.0 END) FILTER (answerable),9) recall_3, round(avg(1.0/rank) FILTER (answerable),9) mrr
       FROM (SELECT p.slice, CASE WHEN starts_with(p.document_id,'j_') THEN 'ja' WHEN starts_with(p.document_id,'v_') THEN 'vi' ELSE 'unknown' END lang, p.text IS NOT NULL answerable, r.rank FROM p LEFT JOIN ranked r ON r.query_id=p.case_id AND r.page_number=p.page_number)
