@@ -11,7 +11,7 @@ PY_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         
 NULL_MARKS = ("", "na", "n/a", "nan", "none", "null", "<na>")
 FORMATS = {"string": "string", "short_text": "string", "text": "string", "number": "number", "numeric": "number", "unordered_list": "unordered_list", "unordered": "unordered_list", "list": "unordered_list", "ordered_list": "ordered_list", "ordered": "ordered_list"}
 NUMBER = r"^[+-]?(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?%?$"
-JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
+JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 VIETNAMESE = r"(?iu)[ăâđêôơưàáãèéìíĩòóõùúũý\x{1ea0}-\x{1ef9}]"
 BULLETS = r"(?:^|\n)\s*(?:[-*•·]|\d+[.)])\s+"
 STRIPPED = " \t\r\n\"'“”‘’.,;:。、「」『』()[]{}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import materialize
 
 
 def once(df: DataFrame, *key: str) -> DataFrame:
@@ -74,7 +75,8 @@ def aliases(df: DataFrame, key: str, prefix: str, width: int = 2) -> DataFrame:
     """key and a dense alias by the key's order. Ranks come from range partitions, so no task sorts all keys."""
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    placed = keys.repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("p"))
+    # Stored, as ranges come from a sample and would part keys otherwise when they are made again.
+    placed = materialize(keys.repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("p")), "placed")
     within = placed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(key)))
     sizes = placed.groupBy("p").agg(F.count("*").alias("n"))
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
@@ -94,18 +96,64 @@ def leave_one_out(questions: DataFrame, document: str, question: str) -> DataFra
 
 
 def fold_roles(questions: DataFrame, document: str, question: str, folds: DataFrame) -> DataFrame:
-    """fold, question and role for the folds given: a stated set of folds against all questions."""
-    f = folds.select("fold", F.col(document).alias("_held"))
-    return questions.select(document, question).distinct().join(f).select("fold", question, F.when(F.col(document) == F.col("_held"), "validation").otherwise("train").alias("role"))
+    """fold, question and role for the folds given: a stated set of folds, which is sent to all tasks, against all questions."""
+    stated = F.broadcast(folds.agg(F.collect_list(F.struct("fold", F.col(document).alias("held"))).alias("_folds")))
+    each = questions.select(document, question).distinct().crossJoin(stated).select(document, question, F.explode("_folds").alias("f"))
+    return each.select("f.fold", question, F.when(F.col(document) == F.col("f.held"), "validation").otherwise("train").alias("role"))
 
 
 def nested_folds(questions: DataFrame, document: str, question: str) -> DataFrame:
-    """outer, inner and sizes: within each outer fold's training documents, a fold for each of them. At least 3 documents."""
+    """outer_document, inner folds and questions: within each outer fold's training documents, a fold for each of them.
+
+    One row for each outer fold, by arithmetic, as a row for each pair would be quadratic: the number of inner folds, the
+    questions that they validate in turn, and the least and the most that one of them trains on. nested_pairs lists stated ones.
+    """
     n = questions.groupBy(document).agg(F.countDistinct(question).alias("n")).join(aliases(questions, document, "d"), document)
-    total = n.agg(F.sum("n").alias("_t"))
-    o, i = n.select(F.col("alias").alias("outer_document"), F.col("n").alias("_on")), n.select(F.col("alias").alias("inner_document"), F.col("n").alias("validation"))
-    pairs = o.join(i, F.col("outer_document") != F.col("inner_document")).crossJoin(F.broadcast(total))
-    return pairs.select("outer_document", "inner_document", "validation", (F.col("_t") - F.col("_on") - F.col("validation")).alias("training"))
+    # The two largest and the two smallest documents tell what is left without an outer one.
+    total = n.agg(F.sum("n").alias("_t"), F.count("*").alias("_d"), F.max("n").alias("_hi"), F.min("n").alias("_lo"))
+    ends = n.groupBy("n").agg(F.count("*").alias("c"))
+    second = ends.crossJoin(F.broadcast(total)).agg(F.max(F.when((F.col("n") < F.col("_hi")), F.col("n"))).alias("_hi2"), F.min(F.when(F.col("n") > F.col("_lo"), F.col("n"))).alias("_lo2"), F.max(F.when(F.col("n") == F.col("_hi"), F.col("c"))).alias("_hic"), F.max(F.when(F.col("n") == F.col("_lo"), F.col("c"))).alias("_loc"))
+    rows = n.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(second))
+    most = F.when((F.col("n") == F.col("_hi")) & (F.col("_hic") == 1), F.col("_hi2")).otherwise(F.col("_hi"))
+    least = F.when((F.col("n") == F.col("_lo")) & (F.col("_loc") == 1), F.col("_lo2")).otherwise(F.col("_lo"))
+    left = F.col("_t") - F.col("n")
+    return rows.filter("_d >= 3").select(F.col("alias").alias("outer_document"), (F.col("_d") - 1).alias("inner_folds"), left.alias("validated"), (left - most).alias("least_training"), (left - least).alias("most_training"))
+
+
+def nested_pairs(questions: DataFrame, document: str, question: str, outer: Sequence[str]) -> DataFrame:
+    """outer_document, inner_document, validation and training sizes for stated outer documents."""
+    n = questions.filter(F.col(document).isNotNull()).groupBy(document).agg(F.countDistinct(question).alias("validation"))
+    total = n.agg(F.sum("validation").alias("_t"))
+    held = F.broadcast(n.filter(F.col(document).isin(*outer)).select(F.col(document).alias("outer_document"), F.col("validation").alias("_o")))
+    pairs = n.join(held, F.col(document) != F.col("outer_document")).crossJoin(F.broadcast(total))
+    return pairs.select("outer_document", F.col(document).alias("inner_document"), "validation", (F.col("_t") - F.col("_o") - F.col("validation")).alias("training"))
+
+
+def fold_violations(roles: DataFrame, questions: DataFrame, document: str, question: str) -> DataFrame:
+    """violation and rows: what is wrong with folds that claim to hold out each document once. None for those of fold_roles with all folds.
+
+    roles: fold, question, role. Kinds: unknown_question, both_roles, incomplete_fold (it lacks a question), shared_document (a
+    document is in both roles of a fold) and not_held_out_once (a question isn't validated in exactly one fold).
+    """
+    own = questions.select(document, question).distinct()
+    known = roles.join(own, question, "left")
+    kinds = [
+        known.filter(F.col(document).isNull()).groupBy().agg(F.count("*").alias("rows")).select(F.lit("unknown_question").alias("violation"), "rows"),
+        roles.groupBy("fold", question).agg(F.countDistinct("role").alias("n")).filter("n > 1").agg(F.count("*").alias("rows")).select(F.lit("both_roles").alias("violation"), "rows"),
+        roles.groupBy("fold").agg(F.countDistinct(question).alias("n")).crossJoin(F.broadcast(own.agg(F.countDistinct(question).alias("all")))).filter("n <> all").agg(F.count("*").alias("rows")).select(F.lit("incomplete_fold").alias("violation"), "rows"),
+        known.groupBy("fold", document).agg(F.countDistinct("role").alias("n")).filter("n > 1").agg(F.count("*").alias("rows")).select(F.lit("shared_document").alias("violation"), "rows"),
+        own.select(question).distinct().join(roles.filter("role = 'validation'").groupBy(question).agg(F.countDistinct("fold").alias("n")), question, "left").filter("coalesce(n, 0) <> 1").agg(F.count("*").alias("rows")).select(F.lit("not_held_out_once").alias("violation"), "rows"),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out.filter("rows > 0")
+
+
+def fold_facts(questions: DataFrame, document: str, question: str, facts: Sequence[str]) -> DataFrame:
+    """document, fact, value and questions of the fold that holds the document out: counts without any text."""
+    each = questions.filter(F.col(document).isNotNull()).select(document, question, F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.col(f).cast("string").alias("value")) for f in facts])).alias("f"))
+    return each.groupBy(document, "f.fact", "f.value").agg(F.countDistinct(question).alias("questions"))
 
 
 def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:

@@ -72,12 +72,6 @@ def document_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return T.aliases(table(spark, sf, "document_catalog"), "document_id", "doc-")
 
 
-def redactions(spark: SparkSession, sf: str) -> DataFrame:
-    q = T.once(table(spark, sf, "retrieval_query").select("query_id", "document_id"), "query_id")
-    raw = F.concat(F.lit("account 123456789012 at s3://bucket-"), F.lower(F.replace(F.coalesce("document_id", F.lit("none")), F.lit("_"), F.lit("-"))), F.lit("/q/"), F.col("query_id"))
-    return q.select("query_id", X.redact(raw).alias("line"), X.s3_parts(F.concat(F.lit("s3://b/"), F.coalesce("document_id", F.lit("x"))))["key"].alias("object_key"))
-
-
 def safe_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "document_catalog").select("document_id", X.safe_identifier(F.concat_ws(" ", "document_id", "language")).alias("name"), X.format_utc(F.col("creation_date")).alias("created"))
 
@@ -144,11 +138,12 @@ def cost_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return use.join(rates, "event_type", "left").select("event_type", F.round("seconds", 4).alias("seconds"), F.round(F.col("seconds") * F.col("rate") / 3600, 6).alias("cost"))
 
 
-QUERIES = {f.__name__: f for f in (column_profile, numeric_summary, language_classes, answer_types, exact_duplicates, document_coverage, page_sequence, page_count_mismatches, missing_documents, top_largest, source_histogram, document_aliases, redactions, safe_names, page_digests, unspaced_lengths, list_items, overlay_latest, status_changes, pending_timeouts, heartbeats, progress, windowed_counts, stage_pairs, event_fields, cost_by_kind)}
+QUERIES = {f.__name__: f for f in (column_profile, numeric_summary, language_classes, answer_types, exact_duplicates, document_coverage, page_sequence, page_count_mismatches, missing_documents, top_largest, source_histogram, document_aliases, safe_names, page_digests, unspaced_lengths, list_items, overlay_latest, status_changes, pending_timeouts, heartbeats, progress, windowed_counts, stage_pairs, event_fields, cost_by_kind)}
 
 _WS = "chr(9)||chr(10)||chr(13)||' '||chr(12288)||chr(160)"
 _NULL = "('', 'na','n/a','nan','none','null','<na>')"
-_JA, _VI = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]", "[ăâđêôơưĂÂĐÊÔƠƯ\\x{1ea0}-\\x{1ef9}]"
+#: Letters of the two languages, written out.
+_JA, _VI = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]", "[ăâđêôơưĂÂĐÊÔƠƯàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵÀÁẢÃẠẰẮẲẴẶẦẤẨẪẬÈÉẺẼẸỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌỒỐỔỖỘỜỚỞỠỢÙÚỦŨỤỪỨỬỮỰỲÝỶỸỴ]"
 _P = "(SELECT DISTINCT page_id, document_id, number, text, status FROM page_text)"
 
 SQL = {
@@ -163,7 +158,6 @@ SQL = {
     "top_largest": "SELECT document_id, size FROM document_catalog ORDER BY size DESC, document_id LIMIT 10",
     "source_histogram": "SELECT split_part(coalesce(source,'none'),'-',1) place, count(*) documents, CAST(sum(n_chars) AS BIGINT) chars FROM documents GROUP BY 1",
     "document_aliases": "SELECT document_id, printf('doc-%02d', dense_rank() OVER (ORDER BY document_id)) alias FROM document_catalog WHERE document_id IS NOT NULL",
-    "redactions": "SELECT query_id, 'account <redacted-account> at s3://<redacted-bucket>/q/'||query_id line, coalesce(document_id,'x') object_key FROM (SELECT DISTINCT query_id, document_id FROM retrieval_query)",
     "safe_names": "SELECT document_id, document_id||'-'||coalesce(language||'-','')||substr(sha256(concat_ws(' ',document_id,language)),1,16) AS name, strftime(creation_date AT TIME ZONE 'UTC','%Y-%m-%dT%H:%M:%S.%g')||'Z' created FROM document_catalog",
     "page_digests": f"SELECT page_id, sha256(CASE WHEN lower(trim(coalesce(status,''), {_WS}))='ok' THEN 't'||chr(10)||coalesce(text,'') ELSE '' END) digest FROM {_P}",
     "overlay_latest": "SELECT record_id, CASE WHEN failure_category='invalid_response' THEN 0.0 ELSE answer_score END answer_score, CASE WHEN failure_category='invalid_response' THEN 'recovered' ELSE failure_category END failure_category FROM (SELECT DISTINCT record_id, answer_score, failure_category FROM refinement)",

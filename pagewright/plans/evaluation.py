@@ -92,6 +92,31 @@ def nested_folds(spark: SparkSession, sf: str) -> DataFrame:
     return T.nested_folds(q, "slice", "id")
 
 
+def nested_document_folds(spark: SparkSession, sf: str) -> DataFrame:
+    q = T.once(table(spark, sf, "retrieval_query").select("query_id", "question_id", "document_id"), "query_id").filter(F.col("document_id").isNotNull())
+    return T.nested_folds(q, "document_id", "question_id")
+
+
+def nested_slice_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    q = T.once(table(spark, sf, "public_challenges").select("case_id", "id", "slice"), "case_id")
+    # Slices are a closed list.
+    return T.nested_pairs(q, "slice", "id", [r[0] for r in q.select("slice").filter("slice is not null").distinct().collect()])
+
+
+def fold_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds by slice, of which one lacks its validation of every ninth question, and another has a stranger."""
+    q = T.once(table(spark, sf, "public_challenges").select("case_id", "id", "slice"), "case_id").filter("slice is not null").select("slice", "id").distinct()
+    folds = q.select(F.col("slice").alias("fold"), "slice").distinct()
+    roles = T.fold_roles(q, "slice", "id", folds).filter("not (role = 'validation' and id like '%9')")
+    odd = roles.filter("role = 'validation'").groupBy("fold").agg(F.min("id").alias("id")).select("fold", F.concat("id", F.lit("-x")).alias("id"), F.lit("train").alias("role"))
+    return T.fold_violations(roles.unionByName(odd), q, "slice", "id")
+
+
+def fold_facts(spark: SparkSession, sf: str) -> DataFrame:
+    r = results(spark, sf).filter(F.col("document").isNotNull())
+    return T.fold_facts(r, "document", "record_id", ["language", "answer_format"])
+
+
 def word_set_f1(spark: SparkSession, sf: str) -> DataFrame:
     c = T.once(table(spark, sf, "public_challenges").select("case_id", "query", "expected_line"), "case_id")
     words = lambda x: X.segments(F.lower(F.coalesce(x, F.lit(""))))
@@ -140,7 +165,7 @@ def metric_violations(spark: SparkSession, sf: str) -> DataFrame:
     return T.violations(results(spark, sf), "record_id", checks).groupBy("violation").agg(F.count("*").alias("records"))
 
 
-QUERIES = {f.__name__: f for f in (score_summary, slice_scores, failure_categories, gap_profile, supporting_metrics, parser_errors, paired_deltas, sign_flip_p, bootstrap_interval, latest_by_document, pairwise_formats, leave_one_out, nested_folds, word_set_f1, answer_scores, response_parse, reader_parse, reread_focus, stable_seeds, metric_violations)}
+QUERIES = {f.__name__: f for f in (score_summary, slice_scores, failure_categories, gap_profile, supporting_metrics, parser_errors, paired_deltas, sign_flip_p, bootstrap_interval, latest_by_document, pairwise_formats, leave_one_out, nested_folds, nested_document_folds, nested_slice_pairs, fold_violations, fold_facts, word_set_f1, answer_scores, response_parse, reader_parse, reread_focus, stable_seeds, metric_violations)}
 
 _NULL = "('', 'na','n/a','nan','none','null','<na>')"
 _WS = "chr(9)||chr(10)||chr(13)||' '"
@@ -150,6 +175,9 @@ _A = ", ".join(f"avg({v}) {v}" for v in VALUES)
 _SEG = "regexp_extract_all(lower(coalesce({0},'')), '[\\p{{L}}\\p{{N}}]+')"
 _D = ", d AS (SELECT {0}, round(avg(answer_score)-avg(evidence_f1),9) delta FROM r WHERE {0} IS NOT NULL GROUP BY 1)"
 
+_NESTED = """WITH n AS (SELECT {0} d, count(DISTINCT {1}) n, printf('d%02d', row_number() OVER (ORDER BY {0})) a FROM {2} WHERE {0} IS NOT NULL GROUP BY 1)
+      SELECT o.a outer_document, count(*) inner_folds, CAST(sum(i.n) AS BIGINT) validated, CAST(sum(i.n)-max(i.n) AS BIGINT) least_training, CAST(sum(i.n)-min(i.n) AS BIGINT) most_training FROM n o JOIN n i ON o.d<>i.d GROUP BY 1 HAVING count(*)>1"""
+
 SQL = {
     "score_summary": _R + f""" SELECT 'all' dimension, NULL AS value, count(*) questions, {_V} FROM r
       UNION ALL SELECT 'document', document, count(*), {_V} FROM r GROUP BY document UNION ALL SELECT 'language', language, count(*), {_V} FROM r GROUP BY language
@@ -166,7 +194,12 @@ SQL = {
     "latest_by_document": _R + " SELECT document, arg_max(record_id, (scored_at, record_id)) record_id, arg_max(local_lava, (scored_at, record_id)) local_lava FROM r WHERE document IS NOT NULL GROUP BY 1",
     "pairwise_formats": _R + ", m AS (SELECT answer_format f, avg(local_lava) v FROM r GROUP BY 1) SELECT a.f left_format, b.f right_format, round(b.v-a.v,9) delta, CASE WHEN abs(b.v-a.v)<1e-12 THEN 'tied' WHEN b.v>a.v THEN 'improved' ELSE 'regressed' END outcome FROM m a JOIN m b ON a.f<b.f",
     "leave_one_out": "WITH n AS (SELECT document_id, count(DISTINCT question_id) validation FROM retrieval_query WHERE document_id IS NOT NULL GROUP BY 1) SELECT printf('outer-%02d', row_number() OVER (ORDER BY document_id)) fold, document_id, validation, CAST(sum(validation) OVER () AS BIGINT)-validation training FROM n",
-    "nested_folds": "WITH n AS (SELECT printf('d%02d', row_number() OVER (ORDER BY slice)) d, n FROM (SELECT slice, count(DISTINCT id) n FROM public_challenges WHERE slice IS NOT NULL GROUP BY 1)) SELECT o.d outer_document, i.d inner_document, i.n validation, CAST((SELECT sum(n) FROM n) AS BIGINT)-o.n-i.n training FROM n o JOIN n i ON o.d<>i.d",
+    "nested_folds": _NESTED.format("slice", "id", "public_challenges"),
+    "nested_document_folds": _NESTED.format("document_id", "question_id", "retrieval_query"),
+    "nested_slice_pairs": "WITH n AS (SELECT slice, count(DISTINCT id) n FROM public_challenges WHERE slice IS NOT NULL GROUP BY 1) SELECT o.slice outer_document, i.slice inner_document, i.n validation, CAST((SELECT sum(n) FROM n) AS BIGINT)-o.n-i.n training FROM n o JOIN n i ON o.slice<>i.slice",
+    "fold_violations": """WITH q AS (SELECT DISTINCT slice, id FROM public_challenges WHERE slice IS NOT NULL), s AS (SELECT slice, count(*) n, count(*) FILTER (id LIKE '%9') gone FROM q GROUP BY 1)
+      SELECT 'unknown_question' violation, count(*) AS "rows" FROM s WHERE n>gone UNION ALL SELECT 'incomplete_fold', count(*) FROM s WHERE (CASE WHEN n>gone THEN 1 ELSE 0 END)-gone<>0 HAVING count(*)>0 UNION ALL SELECT 'not_held_out_once', CAST(sum(gone) AS BIGINT) FROM s HAVING sum(gone)>0""",
+    "fold_facts": _R + " SELECT document, 'language' fact, language AS value, count(DISTINCT record_id) questions FROM r WHERE document IS NOT NULL GROUP BY ALL UNION ALL SELECT document, 'answer_format', answer_format, count(DISTINCT record_id) FROM r WHERE document IS NOT NULL GROUP BY ALL",
     "word_set_f1": f"""WITH c AS (SELECT case_id, {_SEG.format('query')} a, {_SEG.format('expected_line')} b FROM (SELECT DISTINCT case_id, query, expected_line FROM public_challenges))
       SELECT case_id, round(CASE WHEN len(list_distinct(a))+len(list_distinct(b))=0 THEN 1.0 ELSE 2.0*len(list_intersect(list_distinct(a),list_distinct(b)))/(len(list_distinct(a))+len(list_distinct(b))) END,9) set_f1,
       round(CASE WHEN len(a)+len(b)=0 THEN 1.0 ELSE 2.0*coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y=x)), len(list_filter(b, lambda y: y=x))))),0)/(len(a)+len(b)) END,9) multiset_f1 FROM c""",

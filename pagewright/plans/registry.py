@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES and SQL.
-MODULES: tuple[str, ...] = ("retrieval", "evaluation", "audit")
+MODULES: tuple[str, ...] = ("retrieval", "evaluation", "audit", "cases")
 
 
 def queries() -> dict[str, Query]:
