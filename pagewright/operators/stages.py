@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks.submission import digest, encode, write_once
+from ..sinks.submission import digest, encode, shared_once
+
+
+def content_hash(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: their number and the sums of two hashes of each."""
+    cols = [F.to_json(F.struct(c)) for c in sorted(df.columns)]
+    big = lambda c: F.sum(c.cast("decimal(38,0)"))
+    r = df.agg(F.count("*").alias("n"), big(F.xxhash64(*cols)).alias("a"), big(F.crc32(F.concat_ws("\1", *[F.coalesce(c, F.lit("\2")) for c in cols]))).alias("b")).first()
+    return digest(encode([r["n"], str(r["a"]), str(r["b"])]))
 
 
 def stage(spark: SparkSession, root: str, identity: dict, compute: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """The stored result of an identity, or a new one that is written, then named by a manifest; and whether it was there.
 
-    The manifest is written last and once, so a stage without one never ran to its end and is written anew.
+    root is a folder of any file system that all executors share. The manifest is written last and once, with a hash of the
+    rows, which must still be that of the table; a stage without one never ran to its end and is written anew.
     """
     key = digest(encode(identity))
-    folder, mark = os.path.join(root, key, "data"), os.path.join(root, key, "manifest.json")
-    if os.path.exists(mark):
-        with open(mark, "rb") as f:
-            m = json.loads(f.read())
+    folder, mark = f"{root.rstrip('/')}/{key}/data", f"{root.rstrip('/')}/{key}/manifest.json"
+    at = spark._jvm.org.apache.hadoop.fs.Path(mark)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        m = json.loads(bytes(spark.read.format("binaryFile").load(mark).select("content").first()["content"]))
         if m["identity"] != identity:
             raise ValueError("a stage's manifest names another identity")
-        return spark.read.parquet(folder), True
+        out = spark.read.parquet(folder)
+        if content_hash(out) != m["hash"]:
+            raise ValueError("a stage's rows aren't those that were written")
+        return out, True
     compute().write.mode("overwrite").parquet(folder)
     out = spark.read.parquet(folder)
-    write_once(os.path.join(root, key), "manifest.json", encode({"identity": identity, "rows": out.count(), "schema": out.schema.jsonValue()}))
+    shared_once(spark, mark, encode({"identity": identity, "hash": content_hash(out), "rows": out.count(), "schema": out.schema.jsonValue()}))
     return out, False
 
 

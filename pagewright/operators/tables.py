@@ -167,3 +167,32 @@ def unequal(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float =
     j = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full")
     same = F.when((F.col("_a") == 0) | (F.col("_b") == 0), F.col("_a") == F.col("_b")).otherwise(F.abs(F.col("_a") - F.col("_b")) <= tolerance * (1 + F.abs(F.col("_b"))))
     return j.filter(~F.coalesce(same, F.lit(False))).select(key, F.col("_a").alias("left_value"), F.col("_b").alias("right_value"))
+
+
+def fitting(needs: DataFrame, catalog: DataFrame, limits: Sequence[str]) -> DataFrame:
+    """Rows of needs with the entries of a catalog that have at least as much of every limit. The catalog is a price list, sent to all tasks."""
+    c = catalog
+    for x in limits:
+        c = c.withColumnRenamed(x, f"_has_{x}")
+    ok = F.lit(True)
+    for x in limits:
+        ok = ok & (F.col(f"_has_{x}") >= F.col(x))
+    return needs.join(F.broadcast(c), ok)
+
+
+def cost_estimates(jobs: DataFrame, rate: str, seconds: str, count: str, contingency: float = 1.25, cap: float | None = None) -> DataFrame:
+    """jobs with maximum_cost, to 4 digits, half to even, and cost_error: bad_rate, bad_seconds, bad_count or over_cap; a wrong row has no cost."""
+    good = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    finite = F.coalesce(F.abs(F.col(rate)) < float("inf"), F.lit(False))
+    cost = F.bround(F.col(rate) * (F.col(seconds) / 3600.0) * F.col(count) * contingency, 4)
+    error = F.when(~(good(rate) & finite), "bad_rate").when(~good(seconds), "bad_seconds").when(~good(count), "bad_count")
+    out = jobs.withColumn("maximum_cost", F.when(error.isNull(), cost))
+    return out.withColumn("cost_error", error if cap is None else F.coalesce(error, F.when(F.col("maximum_cost") > cap, "over_cap")))
+
+
+def single_match(wanted: DataFrame, offered: DataFrame, key: str, name: str) -> DataFrame:
+    """key, matches and the offer of each wanted name that has exactly one offer of the same letters and digits; others have a null offer."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    o = offered.select(plain(F.col(name)).alias("_k"), F.struct(*offered.columns).alias("offer"))
+    j = wanted.select(key, plain(F.col(name)).alias("_k")).join(o, "_k", "left").groupBy(key).agg(F.count("offer").alias("matches"), F.first("offer", True).alias("offer"))
+    return j.withColumn("offer", F.when(F.col("matches") == 1, F.col("offer")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 
 def status_changes(log: DataFrame, job: str, ts: str, order: str, status: str) -> DataFrame:
     """Rows whose status differs from the job's row before; a job's first row is one. Nulls are a status."""
@@ -60,3 +62,20 @@ def windowed_counts(events: DataFrame, ts: str, by: str, every: str = "1 hour",
 def read_event_stream(spark, path: str, schema: str):  # noqa: ANN001, ANN201
     """A stream of JSON event files."""
     return spark.readStream.schema(schema).json(path)
+
+
+def new_job(jobs: DataFrame, known: DataFrame, name: str, created: str, since: Column, holds: str = "") -> DataFrame:
+    """The newest job made after a time that isn't known yet and whose name holds a text, in any case: one row at most; ties go by name."""
+    fresh = jobs.filter((F.col(created) > since) & F.lower(F.col(name)).contains(holds.lower())).join(known.select(name), name, "left_anti")
+    return fresh.orderBy(F.col(created).desc(), name).limit(1)
+
+
+def active_jobs(jobs: DataFrame, name: str, status: str, active: tuple[str, ...] = ("InProgress", "Stopping")) -> DataFrame:
+    """Names of jobs in one of the statuses, each once."""
+    return jobs.filter(F.col(status).isin(*active) & F.col(name).isNotNull()).select(name).distinct()
+
+
+def as_events(log: DataFrame, component: str, event: Column, ts: str, fields: list[str]) -> DataFrame:
+    """value: a structured line for each row, with a header and the fields, sanitized; in batch or as a stream."""
+    line = F.struct(F.lit(1).alias("schema_version"), text.format_utc(F.col(ts)).alias("timestamp_utc"), F.lit(component).alias("component"), event.alias("event"), *fields)
+    return log.select(text.sanitize_json(F.to_json(line)).alias("value"))

@@ -35,10 +35,10 @@ def test_profiles_and_checks(spark):
 
 def test_submission_round_trip(spark, tmp_path):
     t = spark.createDataFrame([(0, "q2", "d"), (1, "q1", "d")], "ordinal int, id string, document_id string")
-    p = spark.createDataFrame([("q1", 'a, "b"', [2, 1]), ("q2", "", [])], "id string, answer string, evidence_pages array<int>")
+    p = spark.createDataFrame([("q1", 'a, "b"', [2, 1]), ("q2", "none", [1])], "id string, answer string, evidence_pages array<int>")
     n = spark.createDataFrame([("d", 2)], "document_id string, page_count int")
     data = K.build_submission(t, p, n)
-    assert data == b'id,answer,evidence_page_number\nq2,,[]\nq1,"a, ""b""","[1,2]"\n'
+    assert data == b'id,answer,evidence_page_number\nq2,none,[1]\nq1,"a, ""b""","[1,2]"\n'
     assert K.check_submission(data, ["q2", "q1"]) == {"rows": 2}
     for q in (p.filter("id = 'q1'"), p.withColumn("evidence_pages", F.array(F.lit(3))), p.withColumn("evidence_pages", F.array(F.lit(1), F.lit(1)))):
         with pytest.raises(ValueError):
