@@ -30,6 +30,17 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["page_id", "piece"])
 
 
+def p1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page, whether its pieces tile it, hold what they say, and keep to the limit and the overlap."""
+    limits = _limits(spark, sf_dir)
+    p = p1_pieces(spark, sf_dir)
+    each = p.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("piece", "core_start", "start", "end"))).alias("p"), F.max(F.length("piece_text")).alias("longest"), F.bool_and(F.coalesce(F.length("piece_text"), F.lit(0)) == F.col("end") - F.col("start")).alias("whole"))
+    after = F.slice("p", 2, F.size("p"))
+    joined = F.forall(F.zip_with(F.slice("p", 1, F.size("p") - 1), after, lambda a, b: (b["core_start"] == a["end"]) & (b["start"] == F.greatest(F.lit(0), b["core_start"] - limits["piece_overlap_chars"]))), lambda ok: ok)
+    ends = F.element_at("p", -1)["end"]
+    return each.select("page_id", ends.alias("chars"), ((F.get("p", F.lit(0))["start"] == 0) & joined & F.col("whole")).alias("tiled"), (F.coalesce("longest", F.lit(0)) <= limits["piece_max_chars"]).alias("within"))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.components(table(spark, sf_dir, "refinement"), "record_id", "document", "question")
 
@@ -48,6 +59,22 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_records(members, "record_id", shares).withColumn("component", F.substring("component", 2, 1 << 30))
 
 
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split, whether its share of the records is within one in a hundred of what is planned (or one component), and entities that another split has too."""
+    members = materialize(_members(spark, sf_dir), "members")
+    plan = table(spark, sf_dir, "split_plan")
+    shares = [(r["split_name"], r["share"]) for r in plan.collect()]
+    rows = materialize(splits.salted(members.withColumn("_by", F.col("record_id").cast("string")), splits.assign(members, shares).select("component", "split"), "component", "_by"), "placed")
+    entities = rows.select("split", F.explode(F.array(F.concat(F.lit("d"), "document"), F.concat(F.lit("q"), "question"))).alias("e")).filter("e is not null").distinct()
+    leaks = entities.groupBy("e").agg(F.count("*").alias("n"), F.min("split").alias("split")).filter("n > 1").groupBy("split").agg(F.count("*").alias("leaks"))
+    total = rows.agg(F.count("*").alias("all"))
+    largest = members.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"))
+    out = plan.select(F.col("split_name").alias("split"), "share").join(F.broadcast(counts), "split", "left").join(F.broadcast(leaks), "split", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(largest))
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("all")) <= F.greatest(0.01 * F.col("all"), F.col("largest"))
+    return out.select("split", near.alias("balanced"), F.coalesce("leaks", F.lit(0)).alias("leaks"))
+
+
 #: table_name, key, document and text of the tables of problem 3.
 _LOOKS = (("page_text", "page_id", "document_id", "text"), ("retrieval_query", "query_id", "document_id", "question"), ("public_challenges", "case_id", "document", "expected_line"))
 
@@ -129,6 +156,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(materialize(_packed(spark, sf_dir), "packed"))
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, containers that hold more than they can, documents with a gap or an overlap between pieces, and pieces of what fits whole."""
+    top = _limits(spark, sf_dir)["container_tokens"]
+    packed = materialize(_packed(spark, sf_dir), "packed")
+    over = packed.groupBy("container", "capacity").agg(F.sum("tokens").alias("t")).filter((F.col("t") > F.col("capacity")) | (F.col("capacity") > top)).agg(F.count("*").alias("overfull"))
+    docs = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.count("*").alias("n"))
+    sums = docs.agg(F.count("*").alias("documents"), F.count_if(F.col("t") != F.col("end")).alias("broken"), F.count_if((F.col("n") > 1) & (F.col("t") <= top)).alias("needless"))
+    return sums.crossJoin(F.broadcast(over))
+
+
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.find_truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
 
@@ -141,6 +178,12 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(_truncated(spark, sf_dir))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, and those without text that were judged, which must be none."""
+    found = _truncated(spark, sf_dir)
+    return found.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("log_odds").isNull()).alias("without_text"), F.count_if(F.col("log_odds").isNull() & F.col("truncated")).alias("judged_without_text"))
+
+
 def p8_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truncated(spark, sf_dir)
 
