@@ -98,3 +98,15 @@ def test_page_windows(spark):
     assert got == [[1, 2, 3, 6], [2, 3, 4], [1, 2], [3], [1], [2], [6], [4, 5]]
     f = spark.createDataFrame([([2, 9], True, [1, 2, 3]), ([], True, [1, 2]), ([1], False, [1, 2])], "c array<int>, v boolean, p array<int>")
     assert [r[0] for r in f.select(R.focus_pages(F.col("c"), F.col("v"), F.col("p"))).collect()] == [[2], [1, 2], [1, 2]]
+
+
+def test_empty_and_null_inputs_have_results(spark):
+    from pagewright.operators import retrieval as R
+
+    pages = spark.createDataFrame([("d", 1, "alpha beta"), ("d", 2, None), (None, 1, "x")], "document_id string, page_number int, text string")
+    queries = spark.createDataFrame([(1, "d", "alpha"), (2, "d", None), (3, None, "x"), (4, "zz", "alpha"), (5, "d", ""), (6, "d", "alpha " * 100)], "query_id bigint, document_id string, question string")
+    got = sorted((r["query_id"], r["page_number"], r["rank"]) for r in R.top_k(pages, queries, 2).collect())
+    assert got == [(q, p, p) for q in (1, 2, 5, 6) for p in (1, 2)]
+    assert R.top_k(pages.filter("1=0"), queries, 2).count() == 0 and R.top_k(pages, queries.filter("1=0"), 2).count() == 0
+    answers = {r["query_id"]: (r["answer"], r["reason"]) for r in R.extractive_answers(pages, queries).collect()}
+    assert answers == {1: ("alpha beta", None), 2: ("", "EMPTY_QUERY"), 3: ("", "NO_MATCHING_EVIDENCE"), 4: ("", "NO_MATCHING_EVIDENCE"), 5: ("", "EMPTY_QUERY"), 6: ("", "QUESTION_TOO_LONG")}
