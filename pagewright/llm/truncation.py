@@ -141,12 +141,13 @@ def _goes_on(texts: DataFrame, contexts: DataFrame) -> DataFrame:
 def _log_odds(counts: Column) -> Column:
     """Log-odds of going on against ending; counts: ARRAY<STRUCT<k, ends, goes_on>> by k, with the text's own end."""
 
-    def step(p: Column, c: Column) -> Column:
+    def step(x: Column, c: Column) -> Column:
         ends = F.greatest(c["ends"] - 1, F.lit(0))
-        return (ends + WEIGHT * p) / (ends + c["goes_on"] + WEIGHT)
+        total = ends + c["goes_on"] + WEIGHT
+        # Both chances are kept: where many texts end alike, 1 - p would be 0.
+        return F.struct(((ends + WEIGHT * x["p"]) / total).alias("p"), ((c["goes_on"] + WEIGHT * x["q"]) / total).alias("q"))
 
-    p = F.aggregate(F.array_sort(counts), F.lit(0.002), step)
-    return F.log((1 - p) / p)
+    return F.aggregate(F.array_sort(counts), F.struct(F.lit(0.002).alias("p"), F.lit(0.998).alias("q")), step, lambda x: F.log(x["q"] / x["p"]))
 
 
 def _limits(docs: DataFrame) -> DataFrame:

@@ -16,3 +16,11 @@ def test_copies_that_say_another_language_are_kept(spark):
     assert sorted(got) == sorted(r[0] for r in rows)
     for i in range(20):
         assert [got[1000 + i][c] for c in ("lang", "log_odds", "threshold", "truncated")] == [got[i][c] for c in ("lang", "log_odds", "threshold", "truncated")] and got[i]["lang"] == "en"
+
+
+def test_an_end_that_very_many_texts_share_has_odds(spark):
+    texts = [f"Meter {i} was read in the north hall, as filed under no.{i}§" for i in range(3000)] + [f"The gate of hall {i} closes at nine." for i in range(50)]
+    rows = [(i, t[:-1] + "§" * 8 if i < 3000 else t, "en", "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string, source string")
+    got = truncation.find_truncated(df, "id", "text", "lang", "source").collect()
+    assert len(got) == len(texts) and all(r["log_odds"] is not None for r in got) and not any(r["truncated"] for r in got if r["id"] < 3000)
