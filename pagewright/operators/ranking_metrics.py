@@ -17,10 +17,14 @@ def at_budgets(ranked: DataFrame, relevant: DataFrame, budgets: Sequence[int] =
 
     Only the hits leave the join: a query has as many rows as relevant pages, not as pages.
     """
+    need = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    return of_hits(ranked.join(relevant, ["query_id", "page_number"]), need, budgets)
+
+
+def of_hits(hits: DataFrame, need: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
+    """The same of hits: query_id and rank of the relevant pages that are ranked, at least up to the largest budget; need: query_id and n_rel, the number of relevant pages."""
     if any(k < 1 for k in budgets):
         raise ValueError("budgets must be positive")
-    need = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    hits = ranked.join(relevant, ["query_id", "page_number"])
     w = Window.partitionBy("query_id").orderBy("rank")
     hits = hits.select("query_id", "rank", F.count("*").over(w).alias("nth"))
     per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "nth"))).alias("hits"))
