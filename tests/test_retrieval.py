@@ -110,3 +110,57 @@ def test_empty_and_null_inputs_have_results(spark):
     assert R.top_k(pages.filter("1=0"), queries, 2).count() == 0 and R.top_k(pages, queries.filter("1=0"), 2).count() == 0
     answers = {r["query_id"]: (r["answer"], r["reason"]) for r in R.extractive_answers(pages, queries).collect()}
     assert answers == {1: ("alpha beta", None), 2: ("", "EMPTY_QUERY"), 3: ("", "NO_MATCHING_EVIDENCE"), 4: ("", "NO_MATCHING_EVIDENCE"), 5: ("", "EMPTY_QUERY"), 6: ("", "QUESTION_TOO_LONG")}
+
+
+def test_documents_of_several_blocks_are_ranked_as_whole_ones(spark, monkeypatch):
+    words = ["gate", "hall", "倉庫", "kho lạnh", "meter", "ab", "a"]
+    p = [(d, i + 1, f"{words[i % 7]} {words[i * i % 5]}\n{words[i % 3]}" if i % 6 else None, 100 * n + i) for n, d in enumerate("de") for i in range(40)]
+    pages = spark.createDataFrame(p + p[::3], "document_id string, page_number int, text string, page_id int")
+    queries = spark.createDataFrame([(100 * n + i, d, w) for n, d in enumerate("de") for i, w in enumerate([*words, "gate meter", "", None])], "query_id int, document_id string, question string")
+    results = (
+        lambda: R.top_k(pages, queries, 5, page_key="page_id"), lambda: R.rank(pages, queries, page_key="page_id"), lambda: R.rankings(pages, queries, page_key="page_id"),
+        lambda: R.zero_signals(pages, queries, page_key="page_id"), lambda: R.extractive_answers(pages, queries, page_key="page_id"),
+    )
+    got = lambda f: sorted(map(repr, f().select(*sorted(f().columns)).collect()))
+    want = [got(f) for f in results]
+    monkeypatch.setattr(R, "BLOCK_PAGES", 15)
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(R, "BLOCK_CHARS", 10_000)
+    monkeypatch.setattr(R, "PAIRS", 50)
+    assert [got(f) for f in results] == want
+    assert len(want[1]) == 2 * 40 * 10
+
+
+@pytest.mark.parametrize("name,least", [("bm25_topk", 5), ("bm25_topk_lower", 5), ("extractive_answers", 1), ("extractive_answers_lower", 1)])
+def test_no_token_of_a_page_is_stored(spark, monkeypatch, name, least):
+    from pagewright.plans import retrieval as P
+
+    stored = []
+    monkeypatch.setattr(R, "materialize", lambda df, name="t": stored.append(df.count()) or df)
+    pages = spark.createDataFrame([("d", i, f"gate {i} hall {i} meter") for i in range(50)], "document_id string, page_number int, text string").withColumn("page_id", F.col("page_number")).withColumn("status", F.lit("ok"))
+    monkeypatch.setattr(P, "_delivered", lambda *_: pages, raising=False)
+    monkeypatch.setattr(P, "pages", lambda *_: pages.drop("page_id"))
+    monkeypatch.setattr(P, "questions", lambda *_: spark.createDataFrame([(1, "d", "gate hall meter")], "query_id bigint, document_id string, question string"))
+    assert P.QUERIES[name](spark, "").count() == least
+    assert max(stored) <= 5
+
+
+@pytest.mark.parametrize("name", ["select_pages", "ranking_metrics", "retrieval_by_slice", "page_search_order"])
+def test_pages_that_a_result_does_not_hold_are_no_rows(spark, monkeypatch, name):
+    from pagewright.plans import retrieval as P
+
+    monkeypatch.setattr(R, "rank", lambda *a, **k: pytest.fail("every page of every query would be a row"))
+    assert P.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_page_sets_of_a_long_document(spark):
+    df = spark.range(1).select(F.sequence(F.lit(8000), F.lit(1), F.lit(-1)).cast("array<int>").alias("r"))
+    one = df.select(F.size(R.page_search_order(F.col("r"), F.size("r"))).alias("n")).first()["n"]
+    assert one == 1 + 2 + 4 + 1999
+
+
+def test_metrics_of_hits_are_those_of_all_relevant_pages(spark, monkeypatch):
+    from pagewright.plans import retrieval as P
+
+    monkeypatch.setattr(M, "at_budgets", lambda *a, **k: pytest.fail("every relevant page of every query would be a row"))
+    assert P.page_relevance_metrics(spark, "/root/testdata/sf0.001").count() == 375
