@@ -4,10 +4,11 @@ Method: running headers, footers and page numbers are taken off first: lines at
 at the edges of the document's other pages, or are its title, and numbers alone. What is left is one stream without
 lines, which is decoded jointly: the cheapest path through a lattice, and what is reported is read off that path.
 
-* In scripts with spaces the arcs of the lattice are words. A word may begin and end at any character of what the corpus
-  has once at most, and at every space: spaces are kept, dropped or put in, letters are confusions of the recogniser,
-  and a hyphen at a line's end is dropped, a compound's own, or a mark. Each costs; a word costs by its frequency. Where
-  no arc spans a space, paths on both sides are independent, so stretches of usual words are decided word by word.
+* In scripts with spaces the arcs of the lattice are words. A word may begin and end at any character and span any number
+  of tokens: spaces are kept, dropped or put in, letters are confusions of the recogniser, and a hyphen at a line's end is
+  dropped, a compound's own, or a mark. Each costs; a word costs by its frequency. Where no arc spans a space, paths on
+  both sides are independent. Words that the corpus has more than once are merged or parted only as it bears that out:
+  it must have the other form WORD_RATIO times as often, and what is merged as often more than chance would put together.
 * In scripts without spaces the units are single characters, as there is no dictionary: the path chooses a form for each
   character that a recogniser confuses, by the counts of the trigrams that hold it, jointly with the forms near to it.
 
@@ -34,6 +35,7 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,6 @@ WORD_RATIO, CHAR_RATIO = 12, 8
 UNSEEN = 0.5
 #: Lines of a usual paragraph.
 USUAL_LINES = 6
-#: Words that stray spaces may have parted from each other.
-MERGED = 3
 #: A running line: on so many pages, and this share of the document's; or on so many pages of several documents; and mostly at edges.
 PAGES, SHARE, CORPUS_PAGES, CORPUS_DOCUMENTS, AT_EDGES = 2, 0.08, 6, 3, 0.7
 #: And narrower than this share of the document's usual line, which is as wide as this share of its lines or wider; or, on so many pages, outermost on this share of them.
@@ -70,9 +70,13 @@ _cjk = re.compile("[ぁ-ヺ]")
 _word = re.compile("[^\\W\\d_]+(?:[-‐‑][^\\W\\d_]+)*")
 _latin = dict(zip(map(ord, LOOKS), LATIN))
 _foreign = re.compile(f"[{LOOKS}]")
+#: A word's skeleton is the same for all that it may be misread for: each character stands for what its confusions have in common.
+_alike = {**dict(zip("cf@0l1!|5$q9b68", "eta" "oiiii" "ss" "gg" "hhh")), "n": "ri", "m": "rri", "w": "vv", "d": "ei", "đ": "ei", "ư": "u'", "ơ": "o'"}
+_skeleton = str.maketrans(_alike)
 _hint = re.compile("ri|rn|vv|cl|u'|o'|[cf@0l51qb6!dm8$9|]")
 _final = re.compile(r"[.!?。！？…][”’」』\")）]*$")
 _letters = re.compile(r"(\W*)([^\W\d_]+)(\W*)")
+_blank = re.compile(r"\n[^\S\n]*\n")
 _broken = re.compile(f"((?:[^\\W\\d_]+[-‐‑])*)([^\\W\\d_]+)([{BREAKS}])\\s*$")
 _numbers = re.compile("(?<![a-zà-ỹđ])[0-9oli]*[0-9][0-9oli]*(?![a-zà-ỹđ])")
 _beside = re.compile("^\\s*[0-9oil|]{1,4}(?=\\s{2})|(?<=\\s{2})[0-9oil|]{1,4}\\s*$")
@@ -113,6 +117,30 @@ def _plain(t: str) -> str:
     return (_foreign.sub(lambda m: _latin[ord(m[0])], t) if _foreign.search(t) else t).casefold()
 
 
+def skeleton(word: str) -> str:
+    """What a (casefolded) word has in common with all that it may be misread for; that of a concatenation is the concatenation."""
+    return word.translate(_skeleton)
+
+
+def _skeleton_column(word: Column) -> Column:
+    """skeleton as an expression."""
+    single = {a: b for a, b in _alike.items() if len(b) == 1}
+    out = F.translate(word, "".join(single), "".join(single.values()))
+    for a, b in _alike.items():
+        if len(b) > 1:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def shape(token: str) -> tuple[str, str, str, str] | None:
+    """Marks before, letters, marks behind and casefolded letters of a token that is a word with marks around."""
+    if m := _letters.fullmatch(token):
+        w = _plain(m[2])
+        if len(w) == len(m[2]):
+            return m[1], m[2], m[3], w
+    return None
+
+
 def _hash64(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
 
@@ -252,14 +280,21 @@ def _count(pages: DataFrame) -> DataFrame:
 
 
 def _bit_sets(vocabulary: DataFrame) -> tuple[bytes, bytes]:
-    """Bit sets of the words that the corpus has at least twice, and of those that it has once; at most 2^MOST_BITS bits each."""
-    size = vocabulary.agg(F.count("*")).first()[0]
-    bits = 1 << min(max(LEAST_BITS, (16 * size).bit_length()), MOST_BITS)
-    spots = vocabulary.select((F.col("n") > 1).alias("often"), F.xxhash64("word").bitwiseAND(F.lit(bits - 1)).alias("spot")).distinct()
-    words = spots.groupBy("often", F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
+    """Bit sets of the words that the corpus has at least twice, and of their skeletons; at most 2^MOST_BITS bits each.
+
+    The second one holds what skeletons begin with, skeletons with a stop behind, and with a colon those of two words or more.
+    """
+    words = vocabulary.filter("n > 1").select("word", _skeleton_column(F.col("word")).alias("s"))
+    alike = words.groupBy("s").agg(F.count("*").alias("n"))
+    begins = F.expr("transform(sequence(1, length(s)), i -> substring(s, 1, i))")
+    ends = F.when(F.col("n") > 1, F.array(F.concat("s", F.lit(".")), F.concat("s", F.lit(":")))).otherwise(F.array(F.concat("s", F.lit("."))))
+    skeletons = alike.filter("s <> ''").select(F.explode(F.concat(begins, ends)).alias("word"))
     out = []
-    for often in (True, False):
-        own, table = words[words["often"] == often], np.zeros(bits // 64, np.int64)
+    for keys, size in ((words.select("word"), words.count()), (skeletons, skeletons.count())):
+        bits = 1 << min(max(LEAST_BITS, (16 * size).bit_length()), MOST_BITS)
+        spots = keys.select(F.xxhash64("word").bitwiseAND(F.lit(bits - 1)).alias("spot")).distinct()
+        own = spots.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
+        table = np.zeros(bits // 64, np.int64)
         table[own["w"].to_numpy(np.int64)] = own["bits"].to_numpy(np.int64)
         out.append(table.tobytes())
     return out[0], out[1]
@@ -305,8 +340,6 @@ def variants(word: str) -> Iterator[dict[str, int]]:
                     at = w.find(a, at + 1)
         more.pop(word, None)
         yield {f: at for f, at in more.items() if _word.fullmatch(f)}
-        if len(more) > 60:
-            return
         forms = more
 
 
@@ -339,66 +372,98 @@ def broken(token: str, after: str) -> tuple[re.Match, str] | None:
     return None
 
 
-class Window:
-    """Tokens in a row, as a lattice over their characters.
+class Spans:
+    """Places of a word, and of words in a row, that skeletons reach: `begins(skeleton)` and `is_one(skeleton)` say so."""
 
-    tokens: (token, whether it may be parted, whether a space beside it may be stray). A token that isn't a word with
-    marks around counts as one character.
-    """
+    def __init__(self):
+        self.shapes: dict[str, tuple[str, str, str, str] | None] = {}
+        self.held: dict[str, tuple[str, ...]] = {}
+        self.over: dict[tuple[str, str], tuple[tuple[int, ...], str | None]] = {}
 
-    def __init__(self, tokens: list[tuple[str, bool, bool]]):
-        self.parts, self.free, self.stray, text, at = [], [], [], [], [0]
-        for t, loose, stray in tokens:
-            m = _letters.fullmatch(t)
-            w = _plain(m[2]) if m else ""
-            if m and len(w) != len(m[2]):
-                m = None
-            self.parts.append(m)
-            self.free.append(bool(m) and loose)
-            self.stray.append(bool(m) and stray)
-            text.append(w if m else "\0")
-            at.append(at[-1] + len(text[-1]))
-        self.text, self.at = "".join(text), at
-        self.stored = "".join(m[2] if m else "\0" for m in self.parts)
-
-    def arcs(self) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(begin, end, spaces dropped, spaces put in before it, whether it begins and ends at spaces) of words that aren't just a token."""
-        n, at = len(self.parts), self.at
-        for k in range(n):
-            if not self.parts[k]:
-                continue
-            # Tokens that a word from here may span: without marks between them, and one of them no word by itself.
-            last = k
-            while last + 1 < n and last - k + 1 < MERGED and self.parts[last + 1] and not self.parts[last][3] and not self.parts[last + 1][1]:
-                last += 1
-            for a in range(at[k], at[k + 1]) if self.free[k] else (at[k],):
-                for j in range(k, last + 1):
-                    if not any(self.stray[k : j + 1]) if j > k else not self.free[k]:
-                        continue
-                    if j > k:
-                        # Within a word only its first letter may be a capital, unless all are.
-                        inner = self.stored[a : at[j + 1]]
-                        if not (inner.isupper() or self.stored[a + 1 : at[j] + 1].islower() or len(inner) < 2):
-                            break
-                    for b in range(max(a, at[j]) + 1, at[j + 1] + 1) if self.free[j] else (at[j + 1],):
-                        if (a == at[k] and b == at[j + 1] and j == k) or b - a < 2:
-                            continue
-                        if j > k and not (self.stored[a:b].isupper() or self.stored[a + 1 : b].islower()):
-                            continue
-                        yield a, b, j - k, int(a != at[k]), a == at[k] and b == at[j + 1]
-
-
-class Needs:
+    def begins(self, s: str) -> bool:
+        raise NotImplementedError
+
+    def is_one(self, s: str) -> bool:
+        raise NotImplementedError
+
+    def shape(self, token: str) -> tuple[str, str, str, str] | None:
+        """shape of a token, remembered."""
+        try:
+            return self.shapes[token]
+        except KeyError:
+            if len(self.shapes) > 200_000:
+                self.shapes.clear()
+            known = self.shapes[token] = shape(token)
+            return known
+
+    def beside(self, a: str, b: str) -> tuple[tuple[str, str, str, str], tuple[str, str, str, str]] | None:
+        """Shapes of two tokens in a row that a word may span."""
+        if (x := self.shape(a)) and not x[2] and (y := self.shape(b)) and not y[0]:
+            return x, y
+        return None
+
+    def open(self, word: str) -> tuple[str, ...]:
+        """Ends of a word, from the whole to its last letter, that a word may begin with."""
+        known = self.held.get(word)
+        if known is None:
+            if len(self.held) > 200_000:
+                self.held.clear()
+            known = self.held[word] = tuple(word[i:] for i in range(len(word)) if self.begins(skeleton(word[i:])))
+        return known
+
+    def on(self, start: str, word: str) -> tuple[tuple[int, ...], str | None]:
+        """Lengths of what a word adds to a start so that both are a word, and both whole if a longer one may begin so."""
+        known = self.over.get((start, word))
+        if known is None:
+            if len(self.over) > 400_000:
+                self.over.clear()
+            s, ends, whole = skeleton(start), [], start + word
+            for j, c in enumerate(word, 1):
+                s += skeleton(c)
+                if not self.begins(s):
+                    whole = None
+                    break
+                if self.is_one(s):
+                    ends.append(j)
+            known = self.over[start, word] = (tuple(ends), whole)
+        return known
+
+    def inner(self, word: str) -> Iterator[tuple[int, int]]:
+        """Places of words inside a word, but for the word itself."""
+        for i in range(len(word)):
+            s = ""
+            for j in range(i, len(word)):
+                s += skeleton(word[j])
+                if not self.begins(s):
+                    break
+                if j - i + 1 < len(word) and self.is_one(s):
+                    yield i, j + 1
+
+
+class Needs(Spans):
     """What pages ask of the corpus: a superset, as far as the bit sets tell."""
 
-    def __init__(self, often: Bits, once: Bits):
-        self.often, self.once = often, once
+    def __init__(self, often: Bits, skeletons: Bits):
+        super().__init__()
+        self.often, self.skeletons = often, skeletons
         self.words: dict[str, tuple[str, ...]] = {}
-        self.tokens: dict[str, tuple[tuple[str, ...], bool]] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
+        self.pairs: dict[tuple[str, str], tuple[tuple[str, ...], tuple[str, ...]]] = {}
         self.clusters: dict[str, tuple[str, ...]] = {}
+        self.joint: dict[tuple[str, str], int] = {}
+        self.rows: dict[str, int] = {}
+        self.long: set[tuple[str, str]] = set()
+
+    def begins(self, s: str) -> bool:
+        return s in self.skeletons
+
+    def is_one(self, s: str) -> bool:
+        return s + "." in self.skeletons
 
     def forms(self, word: str) -> list[str]:
-        return [f for more in variants(word) for f in more if f in self.often] if _hint.search(word) else []
+        if not _hint.search(word) or skeleton(word) + (":" if word in self.often else ".") not in self.skeletons:
+            return []
+        return [f for more in variants(word) for f in more if f in self.often]
 
     def word(self, word: str) -> tuple[str, ...]:
         """A word and the forms that may replace it; remembered."""
@@ -409,43 +474,104 @@ class Needs:
             known = self.words[word] = (word, *self.forms(word))
         return known
 
-    def token(self, token: str) -> tuple[tuple[str, ...], bool]:
-        """What a token asks for by itself, and whether the corpus may have its word once at most; remembered."""
+    def token(self, token: str) -> tuple[str, ...]:
+        """What a token asks for by itself; remembered."""
         known = self.tokens.get(token)
         if known is None:
             if len(self.tokens) > 200_000:
                 self.tokens.clear()
-            asked, loose = {x for _, _, w in cores(token, None) for x in self.word(w)}, False
+            asked = {x for _, _, w in cores(token, None) for x in self.word(w)}
             if m := _letters.fullmatch(token):
-                w = _plain(m[2])
-                asked.update(self.word(w))
-                loose = w in self.once or w not in self.often
-            known = self.tokens[token] = (tuple(asked), loose)
+                asked.update(self.word(_plain(m[2])))
+            if x := shape(token):
+                for i, j in self.inner(x[3]):
+                    asked.update(self.word(x[3][i:j]))
+            known = self.tokens[token] = tuple(asked)
+        return known
+
+    def pair(self, a: str, b: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """What two words in a row ask for together, and what words that go on behind both may begin with; remembered."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) > 400_000:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.further(self.open(a), b)
         return known
 
-    def spaced(self, lines: list[str], seen: set[str], out: set[str]) -> None:
-        """Adds to out what a page asks for; seen: tokens whose own wants are there already."""
+    def further(self, starts: tuple[str, ...], word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        asked, goes_on = set(), []
+        for start in starts:
+            ends, whole = self.on(start, word)
+            for j in ends:
+                asked.update(self.word(start + word[:j]))
+            if whole:
+                goes_on.append(whole)
+        return tuple(asked), tuple(goes_on)
+
+    def spaced(self, lines: list[str], seen: set, out: set[str]) -> None:
+        """Adds to out what a page asks for; seen: tokens and pairs whose own wants are there already."""
         words = [x.split() for x in lines]
         flat = [w for ws in words for w in ws]
         for t in set(flat) - seen:
             seen.add(t)
-            out.update(self.token(t)[0])
-        loose = [self.token(t)[1] for t in flat]
-        for k in [k for k, x in enumerate(loose) if x]:
-            near = range(max(0, k - MERGED + 1), min(len(flat), k + MERGED))
-            window = Window([(flat[i], loose[i], loose[i]) for i in near])
-            for a, b, _, _, whole in window.arcs():
-                w = window.text[a:b]
-                if w in self.often:
-                    out.add(w)
-                elif whole or b - a > 2:
-                    out.update(self.forms(w))
+            out.update(self.token(t))
+        pairs = set(zip(flat, flat[1:]))
+        for pair in pairs - seen:
+            seen.add(pair)
+            if x := self.beside(*pair):
+                asked, goes_on = self.pair(x[0][3], x[1][3])
+                out.update(asked)
+                if goes_on and not x[1][2]:
+                    if len(self.long) > 400_000:
+                        self.long.clear(), seen.clear()
+                    self.long.add(pair)
+        if not self.long.isdisjoint(pairs):
+            for k in [k for k, pair in enumerate(zip(flat, flat[1:])) if pair in self.long]:
+                starts, last = self.pair(self.shape(flat[k])[3], self.shape(flat[k + 1])[3])[1], k + 1
+                while starts and last + 1 < len(flat) and (x := self.beside(flat[last], flat[last + 1])):
+                    asked, starts = self.further(starts, x[1][3])
+                    out.update(asked)
+                    last += 1
         for a, b in zip(words, words[1:]):
             if a and b and (x := broken(a[-1], b[0])):
                 left, right = _plain(x[0][1] + x[0][2]), _plain(x[1])
                 out.add(f"{left}-{right}")
                 out.update(self.word(left + right))
 
+    def phrases(self, texts: list[str], out: Counter[str]) -> None:
+        """Counts words in a row, parted by spaces, that may be one word together; blank lines part them."""
+        flat = _blank.sub(" . ", "\n\n".join(texts)).split()
+        long = set()
+        for pair, n in Counter(zip(flat, flat[1:])).items():
+            if not (x := self.beside(*pair)):
+                continue
+            a, b = x[0][3], x[1][3]
+            known = self.joint.get((a, b))
+            if known is None:
+                if len(self.joint) > 400_000:
+                    self.joint.clear()
+                s = skeleton(a + b)
+                known = self.joint[a, b] = self.begins(s) and (1 + self.is_one(s))
+            if known:
+                if known > 1:
+                    out[f"{a} {b}"] += n
+                if not x[1][2]:
+                    long.add(pair)
+        for k in [k for k, pair in enumerate(zip(flat, flat[1:])) if pair in long] if long else ():
+            row, last = self.shape(flat[k])[3] + " " + self.shape(flat[k + 1])[3], k + 1
+            while last + 1 < len(flat) and (x := self.beside(flat[last], flat[last + 1])):
+                row, last = f"{row} {x[1][3]}", last + 1
+                known = self.rows.get(row)
+                if known is None:
+                    if len(self.rows) > 400_000:
+                        self.rows.clear()
+                    s = skeleton(row.replace(" ", ""))
+                    known = self.rows[row] = self.begins(s) and (1 + self.is_one(s))
+                if not known:
+                    break
+                if known > 1:
+                    out[row] += 1
+
     def spaceless(self, lines: list[str], seen: set[str], out: set[str]) -> None:
         for m in _cluster.finditer("^^" + _digit.sub("0", "".join(_stream(lines))) + "^^"):
             key = m[1] + m[2] + m[3]
@@ -461,21 +587,57 @@ class Needs:
             out.update(known)
 
 
-class Reader:
-    """Decodes pages with the corpus's counts of what they ask for; a word that isn't in counts is one the corpus lacks."""
+class Reader(Spans):
+    """Decodes pages with the corpus's counts of what they ask for; a word that isn't in counts is one the corpus lacks.
+
+    Counts of words in a row that may be one word are keyed with a space between them.
+    """
 
     def __init__(self, counts: dict[str, int], total: int):
-        self.counts, self.total = counts, math.log(max(1, total))
+        super().__init__()
+        self.all, self.total, self.space = max(1, total), math.log(max(1, total)), math.log(WORD_RATIO)
         self.fixed: dict[str, tuple[str, int] | None] = {}
-        self.tokens: dict[tuple[str, bool], tuple[str | None, bool]] = {}
+        self.tokens: dict[tuple[str, bool], tuple[str | None, bool, bool]] = {}
+        self.links: dict[tuple[str, str], bool] = {}
+        self.insides: dict[str, list[tuple[int, int, float, str | None]]] = {}
+        self.groups: dict[tuple, tuple[list[str], set[int], set[int]]] = {}
         self.clusters: dict[str, str] = {}
+        # Of words that the corpus has more than once: by skeleton, and what skeletons begin with. Words parted by spaces, by the word that they make.
+        self.alike: dict[str, list[str]] = {}
+        self.starts: set[str] = set()
+        self.apart: dict[str, list[str]] = {}
+        self.known: set[str] = set()
+        self.pairs: dict[tuple[str, str], tuple[list[tuple[int, int]], list[str]]] = {}
+        self.begin(counts)
 
     def begin(self, counts: dict[str, int]) -> None:
         """Goes on with another lot's counts."""
         self.counts = counts
-        for held in (self.fixed, self.tokens, self.clusters):
+        for held in (self.fixed, self.tokens, self.insides, self.groups, self.clusters):
             if len(held) > 200_000:
                 held.clear()
+        if len(self.known) > 500_000:
+            for held in (self.known, self.alike, self.starts, self.apart):
+                held.clear()
+        new = [w for w, n in counts.items() if w not in self.known and w[0] != "\t" and (n > 1 or " " in w)]
+        self.known.update(new)
+        for w in new:
+            if " " in w:
+                self.apart.setdefault(w.replace(" ", ""), []).append(w)
+                continue
+            s = skeleton(w)
+            if s not in self.alike:
+                self.starts.update(s[:i] for i in range(1, len(s) + 1))
+            self.alike.setdefault(s, []).append(w)
+        if new:  # what may begin a word isn't what it was
+            for held in (self.held, self.over, self.pairs, self.links):
+                held.clear()
+
+    def begins(self, s: str) -> bool:
+        return s in self.starts
+
+    def is_one(self, s: str) -> bool:
+        return s in self.alike
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
@@ -485,7 +647,8 @@ class Reader:
         if word in self.fixed:
             return self.fixed[word]
         n, best = self.count(word) if _word.fullmatch(word) else 0, None
-        for forms in variants(word):
+        like = self.alike.get(skeleton(word), ())
+        for forms in variants(word) if any(w != word and self.count(w) >= WORD_RATIO * (n + 0.5) for w in like) else ():
             good = [(c, f, at) for f, at in forms.items() if (c := self.count(f)) >= WORD_RATIO * (n + 0.5)]
             if good:
                 best = max(good)[1:]
@@ -498,8 +661,8 @@ class Reader:
         """The cost of a word that the corpus has n times: its log-odds against all words."""
         return self.total - math.log(n + 0.5) + (UNSEEN * len(word) if n <= 1 else 0.0)
 
-    def token(self, token: str, goes_on: bool) -> tuple[str | None, bool]:
-        """A token repaired by itself or None, and whether the corpus has its word once at most; both are remembered."""
+    def token(self, token: str, goes_on: bool) -> tuple[str | None, bool, bool]:
+        """A token repaired by itself or None, whether the corpus has its word once at most, and whether it may be parted; remembered."""
         known = self.tokens.get((token, goes_on))
         if known is None:
             new = None
@@ -508,26 +671,126 @@ class Reader:
                     new = token[:at] + (fixed[0].capitalize() if core[0].isupper() else fixed[0]) + token[at + len(core) :]
                     break
             m = _letters.fullmatch(token)
-            known = self.tokens[token, goes_on] = (new, bool(m) and self.count(_plain(m[2])) <= 1)
+            rare = bool(m) and self.count(_plain(m[2])) <= 1
+            known = self.tokens[token, goes_on] = (new, rare, rare or bool((x := self.shape(token)) and self.parted(x[3])))
+        return known
+
+    def reading(self, word: str, whole: bool) -> tuple[float, str | None] | None:
+        """The cost of a word that tokens hold or make up, and what it is misread for; None if it is no word. Whole: not parts of tokens."""
+        n = self.count(word)
+        if n > (1 if whole else WORD_RATIO):
+            return self.cost(word, n), None
+        if len(word) > 1 and _hint.search(word) and (fixed := self.fix(word)):
+            return self.cost(fixed[0], self.count(fixed[0])) + self.space, fixed[0]
+        return None
+
+    def inside(self, word: str) -> list[tuple[int, int, float, str | None]]:
+        """Words inside a word: begin, end, cost and what each is misread for; remembered."""
+        known = self.insides.get(word)
+        if known is None:
+            known = self.insides[word] = [(i, j, *x) for i, j in self.inner(word) if (x := self.reading(word[i:j], False))]
+        return known
+
+    def pair(self, a: str, b: str) -> tuple[list[tuple[int, int]], list[str]]:
+        """Words over the end of one token and the begin of the next, as (letters of the first, of the next); and what may go on behind both."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) > 400_000:
+                self.pairs.clear()
+            over, goes_on = [], []
+            for start in self.open(a):
+                ends, whole = self.on(start, b)
+                over += [(len(start), j) for j in ends if self.reading(start + b[:j], len(start) == len(a) and j == len(b))]
+                if whole:
+                    goes_on.append(whole)
+            known = self.pairs[a, b] = over, goes_on
+        return known
+
+    def linked(self, a: str, b: str) -> bool:
+        """Whether words may span the space between two tokens; remembered."""
+        known = self.links.get((a, b))
+        if known is None:
+            if len(self.links) > 400_000:
+                self.links.clear()
+            x = self.beside(a, b)
+            known = self.links[a, b] = bool(x) and any(self.pair(x[0][3], x[1][3]))
         return known
 
+    def spans(self, flat: list[str], k: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Words that begin in token k and end in a later one before end: (place in k, token of the end, place in it)."""
+        last = k + 1
+        if last >= end or not self.linked(flat[k], flat[last]):
+            return
+        x, y = self.shape(flat[k]), self.shape(flat[last])
+        over, goes_on = self.pair(x[3], y[3])
+        for n, j in over:
+            yield len(x[3]) - n, last, j
+        size = len(y[3])
+        while goes_on and not y[2] and last + 1 < end and (y := self.shape(flat[last + 1])) and not y[0]:
+            last, more = last + 1, []
+            for start in goes_on:
+                ends, whole = self.on(start, y[3])
+                i = len(x[3]) - (len(start) - size)
+                for j in ends:
+                    if self.reading(start + y[3][:j], i == 0 and j == len(y[3])):
+                        yield i, last, j
+                if whole:
+                    more.append(whole)
+            goes_on, size = more, size + len(y[3])
+
+    def parted(self, word: str) -> tuple[int, str] | None:
+        """How often the corpus has a usual word parted by spaces, and how, if it does so often enough to part it."""
+        n, best = self.count(word), max(((self.count(w), w) for w in self.apart.get(word, ())), default=(0, ""))
+        return best if best[0] >= WORD_RATIO * (n + 0.5) else None
+
+    def merges(self, words: list[str], form: str) -> bool:
+        """Whether usual words in a row may be one word: the corpus has it often enough, and has them in a row more often than by chance."""
+        n = self.count(" ".join(words))
+        chance = math.prod(self.count(w) / self.all for w in words) * self.all
+        return self.count(form) >= WORD_RATIO * (n + 0.5) and n >= WORD_RATIO * chance
+
     def decode(self, tokens: list[tuple[str, bool, bool]]) -> tuple[list[str], set[int], set[int]]:
-        """The cheapest reading of tokens in a row, (token, whether a word goes on behind it, whether it ends its line).
+        """The cheapest reading of tokens in a row, (token, whether a word goes on behind it, whether it ends its line); remembered.
 
         Gives what each token reads as, '' where the one before holds it; tokens with misread words; tokens whose hyphen was dropped.
         """
-        alone = [self.token(t, goes_on) for t, goes_on, _ in tokens]
-        window = Window([(t, rare, rare and new is None) for (t, _, _), (new, rare) in zip(tokens, alone)])
-        at, space, n = window.at, math.log(WORD_RATIO), len(tokens)
+        key = tuple(tokens)
+        known = self.groups.get(key)
+        if known is None:
+            known = self.groups[key] = self.path(tokens)
+        return known
+
+    def path(self, tokens: list[tuple[str, bool, bool]]) -> tuple[list[str], set[int], set[int]]:
+        alone = [self.token(t, goes_on)[:2] for t, goes_on, _ in tokens]
+        flat = [t for t, _, _ in tokens]
+        shapes = [self.shape(t) for t in flat]
+        space, n, at = self.space, len(tokens), [0]
+        for x in shapes:  # a token that isn't a word with marks around counts as one character
+            at.append(at[-1] + (len(x[3]) if x else 1))
+        stored, size = "".join(x[1] if x else "\0" for x in shapes), at[-1]
+        # What tokens read as by themselves, letters only.
+        read = [_plain("".join(c for c in new if c.isalpha())) if new is not None else x[3] if x else _plain(t) for (t, _, _), x, (new, _) in zip(tokens, shapes, alone)]
+        usual = [bool(x) and new is None and not rare for x, (new, rare) in zip(shapes, alone)]
+        token_of = [k for k in range(n) for _ in range(at[k + 1] - at[k])]
         # Arcs by where they begin: (end, cost, text or None for the stored one, misread tokens, whether a hyphen is dropped, whether the text has its marks).
+        # Places beyond size are those in usual words that are reached from the word's begin: their ends are no such words' ends, as only what the corpus bears out parts those.
         arcs: dict[int, list[tuple[int, float, str | None, tuple[int, ...], bool, bool]]] = {}
+        second = size + 1
+
+        def word_arc(begins: tuple[int, ...], a: int, b: int, end: int, cost: float, form: str | None) -> None:
+            text = None
+            if form is not None:
+                like = stored[a:b]
+                text = form.upper() if len(like) > 1 and like.isupper() else form.capitalize() if like[0].isupper() else form
+            for begin in begins:
+                arcs.setdefault(begin, []).append((end, cost, text, (token_of[a],) if form is not None else (), False, False))
+
         for k, (t, _, ends) in enumerate(tokens):
             new, _ = alone[k]
-            w = _plain(window.parts[k][2]) if window.parts[k] else _plain(t)
+            w = shapes[k][3] if shapes[k] else _plain(t)
             own = self.cost(w, self.count(w))
             if new is not None:
-                form = _plain("".join(c for c in new if c.isalpha()))
-                arcs.setdefault(at[k], []).append((at[k + 1], min(self.cost(form, self.count(form)) + space, own), new, (k,), False, True))
+                arcs.setdefault(at[k], []).append((at[k + 1], min(self.cost(read[k], self.count(read[k])) + space, own), new, (k,), False, True))
             else:
                 arcs.setdefault(at[k], []).append((at[k + 1], own, t, (), False, True))
             if ends and k + 1 < n and (x := broken(t, tokens[k + 1][0])):
@@ -546,46 +809,51 @@ class Reader:
                     arcs[at[k]].append((at[k + 2], self.cost(f"{left}-{rest}", kept), t + tokens[k + 1][0], (), False, True))
                 # To leave the mark where it is costs as much as two spaces.
                 arcs[at[k]] = [(x[0], x[1] + 2 * space, *x[2:]) if x[0] == at[k + 1] else x for x in arcs[at[k]]]
-        unknown = []
-        for a, b, dropped, put, whole in window.arcs():
-            w = window.text[a:b]
-            c = self.count(w)
-            if c > (1 if whole else WORD_RATIO):
-                arcs.setdefault(a, []).append((b, self.cost(w, c) + space * (dropped + put), None, (), False, False))
-            elif whole or b - a > 2:
-                unknown.append((a, b, dropped + put, w))
-        # Misread parts matter only between places that are reached from both ends.
-        size = at[-1]
-        behind = [False] * size + [True]
-        for a in range(size - 1, -1, -1):
-            behind[a] = any(behind[b] for b, *_ in arcs.get(a, ()))
-        ahead = [True] + [False] * size
-        for a in range(size):
-            if ahead[a]:
-                for b, *_ in arcs.get(a, ()):
-                    ahead[b] = True
-        token_of = [k for k in range(n) for _ in range(at[k + 1] - at[k])]
-        for a, b, spaces, w in unknown:
-            if ahead[a] and behind[b] and _hint.search(w) and (fixed := self.fix(w)):
-                like = window.stored[a:b]
-                form = fixed[0].upper() if len(like) > 1 and like.isupper() else fixed[0].capitalize() if like[0].isupper() else fixed[0]
-                arcs.setdefault(a, []).append((b, self.cost(fixed[0], self.count(fixed[0])) + space * (1 + spaces), form, (token_of[a],), False, False))
-        best, came = [0.0] + [math.inf] * size, [None] * (size + 1)
-        for a in range(size):
-            if best[a] < math.inf:
-                for arc in arcs.get(a, ()):
-                    if best[a] + arc[1] < best[arc[0]]:
-                        best[arc[0]], came[arc[0]] = best[a] + arc[1], (a, arc)
+            if not shapes[k]:
+                continue
+            if usual[k] and (x := self.parted(w)):
+                places = [0, *accumulate(map(len, x[1].split(" ")))]
+                text = " ".join(shapes[k][1][i:j] for i, j in zip(places, places[1:]))
+                arcs[at[k]].append((at[k + 1], self.total - math.log(x[0] + 0.5) + space * (len(places) - 2), text, (), False, False))
+            for i, j, cost, form in self.inside(w):
+                a, b, cost = at[k] + i, at[k] + j, cost + (space if i else 0.0)
+                if not usual[k]:
+                    word_arc((a,), a, b, b, cost, form)
+                elif i == 0:
+                    word_arc((a,), a, b, b + second, cost, form)
+                else:
+                    word_arc((a,), a, b, b, cost, form)
+                    if b < at[k + 1]:
+                        word_arc((a + second,), a, b, b + second, cost, form)
+            for i, last, j in self.spans(flat, k, n):
+                a, b = at[k] + i, at[last] + j
+                # Within a word only its first letter may be a capital, unless all are.
+                if not stored[a:b].isupper() and stored[a + 1 : b] != stored[a + 1 : b].lower():
+                    continue
+                words, whole = [shapes[x][3] for x in range(k, last + 1)], i == 0 and b == at[last + 1]
+                w = words[0][i:] + "".join(words[1:-1]) + words[-1][:j]
+                cost, form = self.reading(w, whole)
+                if whole and all(self.count(x) > 1 for x in read[k : last + 1]) and not self.merges(read[k : last + 1], form or w):
+                    continue
+                word_arc((a, a + second) if i else (a,), a, b, b, cost + space * (last - k + (i > 0)), form)
+        best, came = [0.0] + [math.inf] * (size + second), [None] * (size + second + 1)
+        for place in range(size):
+            for a in (place, place + second):
+                if best[a] < math.inf:
+                    for arc in arcs.get(a, ()):
+                        if best[a] + arc[1] < best[arc[0]]:
+                            best[arc[0]], came[arc[0]] = best[a] + arc[1], (a, arc)
         path, b = [], size
         while b > 0:
             path.append(came[b])
             b = came[b][0]
         out, bad, hyphens = [""] * n, set(), set()
         for a, (b, _, text, misread, dropped, complete) in reversed(path):
+            a, b = a % second, b % second
             k, last = token_of[a], token_of[b - 1]
-            new = window.stored[a:b] if text is None else text
+            new = stored[a:b] if text is None else text
             if not complete:  # marks around belong to a path's words at a token's ends
-                new = (window.parts[k][1] if a == at[k] else "") + new + (window.parts[last][3] if b == at[last + 1] else "")
+                new = (shapes[k][0] if a == at[k] else "") + new + (shapes[last][2] if b == at[last + 1] else "")
             out[k] = f"{out[k]} {new}" if out[k] else new
             bad.update(misread)
             if dropped:
@@ -599,44 +867,44 @@ class Reader:
         hyphens: set[int] = set()
         places: list[tuple[int, int]] = []
         tokens: list[tuple[str, bool, bool]] = []
-        walls = {0}  # no word goes on over a blank line
+        walls = [0]  # no word goes on over a blank line
         for i, ws in enumerate(words):
-            if not ws:
-                walls.add(len(tokens))
+            if not ws and walls[-1] != len(tokens):
+                walls.append(len(tokens))
             for k, w in enumerate(ws):
                 after = ws[k + 1] if k + 1 < len(ws) else next((x[0] for x in words[i + 1 :] if x), "")
                 tokens.append((w, after[:1].islower() or after[:1].isdigit(), k == len(ws) - 1))
                 places.append((i, k))
-        walls.add(len(tokens))
+        walls.append(len(tokens))
+        flat, links, known = [w for ws in words for w in ws], self.links, self.tokens
         odd: list[tuple[int, int]] = []
-        for k, (t, goes_on, ends) in enumerate(tokens):
-            new, rare = self.token(t, goes_on)
-            if new is not None:
-                i, j = places[k]
-                bad.add(i)
-                words[i][j] = new
-            if ends and k + 1 not in walls and broken(t, tokens[k + 1][0]):
-                odd.append((k, k + 1))
-            elif rare:
-                odd.append((k, k))
+        for begin, end in zip(walls, walls[1:]):
+            for k in range(begin, end):
+                t, goes_on, ends = tokens[k]
+                new, _, loose = known.get((t, goes_on)) or self.token(t, goes_on)
+                if new is not None:
+                    i, j = places[k]
+                    bad.add(i)
+                    words[i][j] = new
+                last = k
+                if k + 1 < end and links.get((t, flat[k + 1])) is not False:
+                    last = max((x for _, x, _ in self.spans(flat, k, end)), default=k)
+                if ends and k + 1 < end and broken(t, tokens[k + 1][0]):
+                    last = max(last, k + 1)
+                if last > k or loose:
+                    odd.append((k, last))
         at = 0
         while at < len(odd):
-            first, last = odd[at]
+            begin, last = odd[at]
             at += 1
-            while at < len(odd) and odd[at][0] <= last + 2 * (MERGED - 1) and not any(w in walls for w in range(last + 1, odd[at][0] + 1)):
+            while at < len(odd) and odd[at][0] <= last:
                 last = max(last, odd[at][1])
                 at += 1
-            begin, end = first, last + 1
-            while begin > max(0, first - MERGED + 1) and begin not in walls:
-                begin -= 1
-            while end < min(len(tokens), last + MERGED) and end not in walls:
-                end += 1
-            text, misread, dropped = self.decode(tokens[begin:end])
+            text, misread, dropped = self.decode(tokens[begin : last + 1])
             for k, t in enumerate(text, begin):
                 words[places[k][0]][places[k][1]] = t
             hyphens.update(places[begin + k][0] for k in dropped)
-            own = {places[k][0] for k in range(begin, end) if k - begin in misread}
-            bad |= own
+            bad.update(places[begin + k][0] for k in misread)
         return words, bad, hyphens
 
     def cluster(self, key: str) -> str:
@@ -790,8 +1058,10 @@ def read_scans(pages: DataFrame, key: str, document: str, text: str, status: str
     lot_pages = max(1, min(LOT_PAGES, int(LOT_BYTES / (size["bytes"] or 1))))
     total = vocabulary.filter(~F.col("word").startswith("\t")).agg(F.sum("n")).first()[0] or 0
     scanned = scanned.withColumn("lot", F.floor(F.col("place") / lot_pages))
-    asked = _asked(scanned, _bit_sets(vocabulary.filter(~F.col("word").startswith("\t"))))
-    known = asked.join(vocabulary, "word").select("lot", "word", "n")
+    bits = scanned.sparkSession.sparkContext.broadcast(_bit_sets(vocabulary.filter(~F.col("word").startswith("\t"))))
+    # What asks for a word asks for it parted by spaces as well.
+    phrases = _phrases(full, bits).select(F.replace("word", F.lit(" "), F.lit("")).alias("word"), F.col("word").alias("form"), "n")
+    known = _asked(scanned, bits).join(vocabulary.select("word", F.col("word").alias("form"), "n").unionByName(phrases), "word").select("lot", F.col("form").alias("word"), "n")
     # One document may have a large share of the pages: they are spread, and its notes copied.
     salt = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     spread = scanned.select("key", F.coalesce("document", F.lit("")).alias("document"), "text", "lot", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -817,9 +1087,23 @@ def read_scans(pages: DataFrame, key: str, document: str, text: str, status: str
     return out.unionByName(empty).withColumnRenamed("key", key)
 
 
-def _asked(scanned: DataFrame, bits: tuple[bytes, bytes]) -> DataFrame:
+def _phrases(pages: DataFrame, sent: Broadcast) -> DataFrame:
+    """word and n: words in a row, parted by spaces, that may be one word together, and how often all pages have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needs, found = Needs(*map(Bits, sent.value)), Counter()
+        for batch in batches:
+            needs.phrases(batch.column(0).to_pylist(), found)
+            if len(found) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    return pages.filter(~F.col("text").rlike(_cjk.pattern)).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _asked(scanned: DataFrame, sent: Broadcast) -> DataFrame:
     """lot and word: what the decoder may ask for in each lot, each once."""
-    sent = scanned.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needs = Needs(*map(Bits, sent.value))

@@ -112,3 +112,48 @@ def test_empty_tables_and_nulls_have_results(spark):
     rows = [(1, None, "a b", None, None), (2, None, None, "ok", "ocr"), (3, None, "x\ny", "ok", "OCR "), (4, "d", "text", "textless", "ocr")]
     got = {r["page_id"]: (r["repaired"], list(r["found"])) for r in scans.read_scans(spark.createDataFrame(rows, schema), "page_id", "d", "t", "s", "o").collect()}
     assert got == {2: ("", []), 3: ("x y", []), 4: ("", [])}
+
+
+def read_beside(spark, body, pages, times=40):
+    """What scanned pages read as, and their found lines, beside a body that native pages hold."""
+    rows = [(i, "n", body, "ok", "native") for i in range(times)] + [(1000 + i, "d", t, "ok", "ocr") for i, t in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, d string, t string, s string, o string")
+    got = {r["page_id"]: r for r in scans.read_scans(df, "page_id", "d", "t", "s", "o").collect()}
+    return [(got[1000 + i]["repaired"], [(f["line_no"], f["kind"]) for f in got[1000 + i]["found"]]) for i in range(len(pages))]
+
+
+def test_words_begin_and_end_anywhere_and_span_any_number_of_tokens(spark):
+    body = "the water meter of a town showed the committee what a government had in the store. " * 5
+    pages = ["Here the c om mit tee had a go ver nm e nt in the store", "Now ameter of the town"]
+    # What comes again is no rare word, and parts of usual words are looked at as well.
+    again = ["the watermeter of a town", "the com mittee had a meter", "had th emeter in the store", "the gov crnment had a store", "water mete rof a town"]
+    pages += [f"{x} {t}" for t in again for x in ("Ash", "Birch", "Cedar")]
+    got = read_beside(spark, body, pages)
+    assert [t for t, _ in got[:2]] == ["Here the committee had a government in the store", "Now a meter of the town"]
+    whole = ["the water meter of a town", "the committee had a meter", "had the meter in the store", "the government had a store", "water meter of a town"]
+    assert [t for t, _ in got[2:]] == [f"{x} {t}" for t in whole for x in ("Ash", "Birch", "Cedar")]
+    assert [f for _, f in got] == [[(1, "misread")] if "crnment" in t else [] for t in pages]
+
+
+def test_usual_words_are_merged_and_parted_only_as_the_corpus_bears_out(spark):
+    body = "any one of all may go in to the hall; anyone may; a notable man has no table. We cannot, or can not, go into it. " * 5
+    pages = [f"{x} has no table and any one may go in to the hall or into it but {y} cannot" for x in ("Ash", "Birch") for y in ("elm", "fir")]
+    assert [t for t, _ in read_beside(spark, body, pages)] == pages
+    # By chance alone the corpus would have these two words in a row as often.
+    body = "we had no chairs. A table was there. No one saw it. The table fell. " * 6 + "a notable man. " * 15
+    assert read_beside(spark, body, ["They had no table there"])[0][0] == "They had no table there"
+
+
+def test_long_words_are_looked_at_for_two_confusions(spark):
+    word = "ei" + "cl" * 22
+    assert read_beside(spark, f"the {word} of it. " * 5, [f"the cl{word[2:]} of it"]) == [(f"the {word} of it", [(1, "misread")])]
+
+
+def test_what_a_word_is_misread_for_has_its_skeleton(spark):
+    from pyspark.sql import functions as F
+
+    for a, b in scans.CONFUSIONS:
+        assert scans.skeleton(f"x{a}y") == scans.skeleton(f"x{b}y")
+    words = [w for pair in scans.CONFUSIONS for w in pair if w.isalpha()] + ["government", "được", "mười", "cldđrn"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", scans._skeleton_column(F.col("w")).alias("s")).collect()
+    assert [(r["w"], r["s"]) for r in rows] == [(w, scans.skeleton(w)) for w in words]
