@@ -52,6 +52,8 @@ LOT_BYTES, LOT_PAGES = 1 << 22, 1024
 WORD_RATIO, CHAR_RATIO = 12, 8
 #: What each letter adds to the cost of a word that the corpus has once at most, as words unlike any are the rarer the longer they are.
 UNSEEN = 0.5
+#: Letters of a skeleton's begin that are told apart while a word is looked for; a word that is found is compared whole.
+BEGIN = 64
 #: Lines of a usual paragraph.
 USUAL_LINES = 6
 #: A running line: on so many pages, and this share of the document's; or on so many pages of several documents; and mostly at edges.
@@ -286,7 +288,7 @@ def _bit_sets(vocabulary: DataFrame) -> tuple[bytes, bytes]:
     """
     words = vocabulary.filter("n > 1").select("word", _skeleton_column(F.col("word")).alias("s"))
     alike = words.groupBy("s").agg(F.count("*").alias("n"))
-    begins = F.expr("transform(sequence(1, length(s)), i -> substring(s, 1, i))")
+    begins = F.expr(f"transform(sequence(1, least(length(s), {BEGIN})), i -> substring(s, 1, i))")
     ends = F.when(F.col("n") > 1, F.array(F.concat("s", F.lit(".")), F.concat("s", F.lit(":")))).otherwise(F.array(F.concat("s", F.lit("."))))
     skeletons = alike.filter("s <> ''").select(F.explode(F.concat(begins, ends)).alias("word"))
     out = []
@@ -408,7 +410,7 @@ class Spans:
         if known is None:
             if len(self.held) > 200_000:
                 self.held.clear()
-            known = self.held[word] = tuple(word[i:] for i in range(len(word)) if self.begins(skeleton(word[i:])))
+            known = self.held[word] = tuple(word[i:] for i in range(len(word)) if self.begins(skeleton(word[i : i + BEGIN])))
         return known
 
     def on(self, start: str, word: str) -> tuple[tuple[int, ...], str | None]:
@@ -455,7 +457,7 @@ class Needs(Spans):
         self.long: set[tuple[str, str]] = set()
 
     def begins(self, s: str) -> bool:
-        return s in self.skeletons
+        return s[:BEGIN] in self.skeletons
 
     def is_one(self, s: str) -> bool:
         return s + "." in self.skeletons
@@ -627,14 +629,14 @@ class Reader(Spans):
                 continue
             s = skeleton(w)
             if s not in self.alike:
-                self.starts.update(s[:i] for i in range(1, len(s) + 1))
+                self.starts.update(s[:i] for i in range(1, min(len(s), BEGIN) + 1))
             self.alike.setdefault(s, []).append(w)
         if new:  # what may begin a word isn't what it was
             for held in (self.held, self.over, self.pairs, self.links):
                 held.clear()
 
     def begins(self, s: str) -> bool:
-        return s in self.starts
+        return s[:BEGIN] in self.starts
 
     def is_one(self, s: str) -> bool:
         return s in self.alike

@@ -157,3 +157,12 @@ def test_what_a_word_is_misread_for_has_its_skeleton(spark):
     words = [w for pair in scans.CONFUSIONS for w in pair if w.isalpha()] + ["government", "được", "mười", "cldđrn"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", scans._skeleton_column(F.col("w")).alias("s")).collect()
     assert [(r["w"], r["s"]) for r in rows] == [(w, scans.skeleton(w)) for w in words]
+
+
+def test_very_long_words_and_rows_of_letters_are_read():
+    word = "abcdefgilmnortu" * 400
+    counts = {"the": 5000, "of": 4000, "meter": 300, word: 2}
+    reader = scans.Reader(counts, 100_000)
+    assert max(map(len, reader.starts)) <= scans.BEGIN
+    for text, read in ((f"the {word[:900]} {word[900:]} of", f"the {word} of"), ("m e t e r of " * 500, "meter of " * 500)):
+        assert " ".join(w for w in reader.spaced([text])[0][0] if w) == read.strip()
