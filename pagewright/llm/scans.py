@@ -29,7 +29,8 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate, product
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .looks import LIKE_KANA, fold
+from .looks import LIKE_KANA, NO_WIDTH, fold
 from .sentences import LATIN, LOOKS
 from .splits import SALTS
 
@@ -67,6 +68,7 @@ CHARACTERS = [("曰", "日"), ("ソ", "ン"), ("入", "人"), ("未", "末"), ("
 CHARACTERS += [p for a, b in LIKE_KANA.items() if a not in "へりべぺ" for p in ((a, b), (b, a))]
 #: Marks that break a word at a line's end; those that are never a word's own.
 BREAKS, NEVER_OWN = "-­‐‑–¬", "­¬"
+_breaks = tuple(BREAKS)
 _no_text = ("textless", "extraction_error")
 _cjk = re.compile("[ぁ-ヺ]")
 _word = re.compile("[^\\W\\d_]+(?:[-‐‑][^\\W\\d_]+)*")
@@ -77,17 +79,27 @@ _alike = {**dict(zip("cf@0l1!|5$q9b68", "eta" "oiiii" "ss" "gg" "hhh")), "n": "r
 _skeleton = str.maketrans(_alike)
 _hint = re.compile("ri|rn|vv|cl|u'|o'|[cf@0l51qb6!dm8$9|]")
 _final = re.compile(r"[.!?。！？…][”’」』\")）]*$")
+_finals, _closers = tuple(".!?。！？…"), "”’」』\")）"
 _letters = re.compile(r"(\W*)([^\W\d_]+)(\W*)")
 _blank = re.compile(r"\n[^\S\n]*\n")
 _broken = re.compile(f"((?:[^\\W\\d_]+[-‐‑])*)([^\\W\\d_]+)([{BREAKS}])\\s*$")
 _numbers = re.compile("(?<![a-zà-ỹđ])[0-9oli]*[0-9][0-9oli]*(?![a-zà-ỹđ])")
+_digits = re.compile("[0-9]")
+_gap = re.compile(r"[^\S\n]{2}")
+_kept = re.compile(r"[^\W\d_]+|\n")
+#: What neither fold nor NFKC changes, nor what stands before it; not all of that.
+_plain_range = "\0-\x0c\x0e-~À-ÏÑ-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ、。「-』ぁ-ゖァ-ヺー一-鿿"
+_changed = re.compile(f"[^{_plain_range}]")
 _beside = re.compile("^\\s*[0-9oil|]{1,4}(?=\\s{2})|(?<=\\s{2})[0-9oil|]{1,4}\\s*$")
+#: The same in a text of lines.
+_beside_lines = re.compile("^[^\\S\n]*[0-9oil|]{1,4}(?=[^\\S\n]{2})|(?<=[^\\S\n]{2})[0-9oil|]{1,4}[^\\S\n]*$", re.M)
 _no_letters = re.compile(r"[\W\d_]+")
 _n = "[0-9OoIlS|]{1,6}"
 _page_number = re.compile(
     rf"^[-–—\[(<|·•~*\s]*(?:(?:pp?|tr|s)[.,]?|pa[gq][ec]|tran[gq]|t[ờ]\s*[s5][ốỗ0o]|shee[tf]|folio|第)?\s*({_n})\s*(?:(?:[0o]f|/|trên)\s*{_n})?\s*(?:ペ[ー一]ジ|頁|枚)?[-–—\])>|·•~*\s]*$", re.I
 )
-_letter_folds = str.maketrans("cf@0l51q6b!đ8曰ソ入未ユ士犬工口力夕卜ニ一", "etaoisighhidhヨン人末コ土大エロカタト二ー")
+_letter_pairs = tuple(zip("cf@0l51q6b!đ8曰ソ入未ユ士犬工口力夕卜ニ一", "etaoisighhidhヨン人末コ土大エロカタト二ー"))
+_letter_folds = str.maketrans(dict(_letter_pairs))
 
 
 def is_no_text(status: Column) -> Column:
@@ -95,6 +107,49 @@ def is_no_text(status: Column) -> Column:
     return F.lower(F.trim(F.coalesce(status, F.lit("ok")))).isin(*_no_text)
 
 
+def _nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+#: By function and character: what becomes of the character by itself, None if that depends on its neighbours.
+_alone: dict[Callable[[str], str], dict[str, str | None]] = {_nfkc: {}, fold: {}}
+
+
+def _by_characters(text: str, change: Callable[[str], str]) -> str:
+    """change (fold or _nfkc) of a text, by its distinct characters unless one depends on its neighbours: that is what begins with a mark, and jamo."""
+    if text.isascii() and "\r" not in text:
+        return text
+    known, odd = _alone[change], set(_changed.findall(text))
+    for c in odd - known.keys():
+        first = unicodedata.normalize("NFKD", c)[0]
+        free = not (unicodedata.category(first)[0] == "M" or "ᄀ" <= first <= "ᇿ" or first > "\uffff")
+        known[c] = change(c) if free or (change is fold and c in NO_WIDTH) else None
+    if any(known[c] is None for c in odd):
+        return change(text)
+    if change is fold and "\r" in odd:
+        text = text.replace("\r\n", "\n")
+    for c in odd:
+        if known[c] != c:
+            text = text.replace(c, known[c])
+    return text
+
+
+def _line_keys(lines: list[str]) -> list[str]:
+    """line_key of lines, all in one pass."""
+    t = _by_characters("\n".join(lines), _nfkc).casefold()
+    if _gap.search(t):
+        t = _beside_lines.sub("", t)
+    if _digits.search(t):
+        t = "\n".join([_numbers.sub("", x) if _digits.search(x) else x for x in t.split("\n")])
+    t = t.replace("rn", "m").replace("ri", "n").replace("u'", "ư").replace("日", "ヨ")
+    if t.isascii():
+        t = t.translate(_letter_folds)
+    else:
+        for a, b in _letter_pairs:
+            t = t.replace(a, b)
+    return "".join(_kept.findall(t.replace(" ", ""))).split("\n")
+
+
 def line_key(line: str) -> str:
     """What a running line has in common on all pages: its letters, with confused ones alike; '' where it has none."""
     t = (line if line.isascii() else unicodedata.normalize("NFKC", line)).casefold()
@@ -160,7 +215,7 @@ class Bits:
 
 def _stream(lines: list[str]) -> list[str]:
     """Folded lines without white space."""
-    whole = fold("\n".join(lines)).split("\n")
+    whole = _by_characters("\n".join(lines), fold).split("\n")
     if len(whole) != len(lines):  # a line end within a line
         whole = [fold(x) for x in lines]
     return ["".join(x.split()) for x in whole]
@@ -193,24 +248,28 @@ def _width(line: str) -> int:
 def _edges(lines: list[str]) -> tuple[dict[str, tuple[bool, int]], list[str], list[int]]:
     """Keys of lines that may be running ones, with whether they are outermost and their width; keys of the page's other lines; widths of all."""
     full = [x for x in lines if x.strip()]
-    own = [i for i, x in enumerate(full) if not (i in (0, 1, len(full) - 2, len(full) - 1) and page_number(x, i in (0, len(full) - 1)))]
+    last = len(full) - 1
+    numbers = {i for i in (0, 1, last - 1, last) if 0 <= i <= last and page_number(full[i], i in (0, last))}
+    own = [i for i in range(len(full)) if i not in numbers]
     outer, outermost = {*own[:2], *own[-2:]}, {*own[:1], *own[-1:]}
+    keys = _line_keys(full)
+    widths = [len(x.strip()) for x in full] if not _gap.search("\n".join(full)) else [_width(x) for x in full]
     edges: dict[str, tuple[bool, int]] = {}
     inner: list[str] = []
     for i in own:
-        if _ends(full[i]) or not (k := line_key(full[i])):
+        if not (k := keys[i]) or _ends(full[i]):
             continue
         if i not in outer:
             inner.append(k)
         elif k not in edges or i in outermost:
-            edges[k] = (i in outermost, _width(full[i]))
-    return edges, inner, [_width(full[i]) for i in own]
+            edges[k] = (i in outermost, widths[i])
+    return edges, inner, [widths[i] for i in own]
 
 
 def _ends(line: str) -> bool:
     """Whether a line ends as a sentence does; a mark apart from it is noise."""
     t = line.rstrip()
-    return bool(_final.search(t)) and not re.search(r"\s\S$", t)
+    return t.rstrip(_closers).endswith(_finals) and not t[-2:-1].isspace()
 
 
 def _count(pages: DataFrame) -> DataFrame:
@@ -222,7 +281,7 @@ def _count(pages: DataFrame) -> DataFrame:
     names = ["kind", "document", "place", "n", "outermost", "width"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        tokens: Counter[str] = Counter()
         trigrams: list[tuple[np.ndarray, np.ndarray]] = []
         edges: dict[tuple[str, str], list[int]] = {}
         widths: dict[tuple[str, int], int] = {}
@@ -234,10 +293,12 @@ def _count(pages: DataFrame) -> DataFrame:
                 n = np.bincount(back, np.concatenate([n for _, n in trigrams])).astype(np.int64)
                 trigrams.clear()
                 yield from rows_out(trigram_words(keys), n)
-            if words:
-                keys, n = list(words), np.fromiter(words.values(), np.int64, len(words))
-                words.clear()
-                yield from rows_out(keys, n)
+            words: dict[str, int] = {}
+            for token, times in tokens.items():  # no word goes on over white space, and no letter's form depends on what is beyond it
+                for w in _word.findall(_plain(token)):
+                    words[w] = words.get(w, 0) + times
+            tokens.clear()
+            yield from rows_out(list(words), np.fromiter(words.values(), np.int64, len(words)))
 
         def rows_out(keys: list[str], n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(keys), 100_000):
@@ -267,11 +328,11 @@ def _count(pages: DataFrame) -> DataFrame:
                     for w in wide:
                         widths[d or "", w] = widths.get((d or "", w), 0) + 1
                 if size > 1_000_000 or k + 1 == len(text):
-                    words.update(_word.findall("\n".join(map(_plain, spaced))))
+                    tokens.update("\n".join(spaced).split())
                     if spaceless:
-                        trigrams.append(trigram_counts("".join(("^^" + "^^".join(map(fold, spaceless)) + "^^").split())))
+                        trigrams.append(trigram_counts("".join(("^^" + "^^".join(_by_characters(t, fold) for t in spaceless) + "^^").split())))
                     spaced, spaceless, size = [], [], 0
-            if len(words) > 200_000 or sum(len(k) for k, _ in trigrams) > 2_000_000:
+            if len(tokens) > 200_000 or sum(len(k) for k, _ in trigrams) > 2_000_000:
                 yield from words_out()
             if len(edges) + len(others) + len(widths) > 200_000:
                 yield lines_out()
@@ -324,9 +385,18 @@ for _a, _b in CHARACTERS:
 _sites = np.zeros(65536, bool)
 _sites[[ord(c) for pair in CHARACTERS for c in pair]] = True
 _one = "".join(FORMS)
-#: Characters in a row that may be confused and share a trigram, with two neighbours on both sides.
-_cluster = re.compile(f"(?<=(..))([{_one}](?:.?[{_one}])*)(?=(..))", re.S)
-_digit = re.compile("[1-9]")
+#: Characters in a row that may be confused and share a trigram.
+_cluster = re.compile(f"[{_one}](?:.?[{_one}])*", re.S)
+
+
+def _clusters(streams: list[str]) -> Iterator[tuple[str, int]]:
+    """Such characters of streams, each with two neighbours on both sides, and where it begins in the streams with four marks between them."""
+    t = "^^" + "^^^^".join(streams) + "^^"
+    for digit in "123456789":
+        t = t.replace(digit, "0")
+    for m in _cluster.finditer(t):
+        a, b = m.span()
+        yield t[a - 2 : b + 2], a - 2
 
 
 def variants(word: str) -> Iterator[dict[str, int]]:
@@ -374,6 +444,12 @@ def broken(token: str, after: str) -> tuple[re.Match, str] | None:
     return None
 
 
+def _places(flat: list[str], pairs: Collection[tuple[str, str]]) -> list[int]:
+    """Where the pairs begin."""
+    first = {a for a, _ in pairs}
+    return [k for k, t in enumerate(flat[:-1]) if t in first and (t, flat[k + 1]) in pairs] if first else []
+
+
 class Spans:
     """Places of a word, and of words in a row, that skeletons reach: `begins(skeleton)` and `is_one(skeleton)` say so."""
 
@@ -421,7 +497,7 @@ class Spans:
                 self.over.clear()
             s, ends, whole = skeleton(start), [], start + word
             for j, c in enumerate(word, 1):
-                s += skeleton(c)
+                s += _alike.get(c, c)
                 if not self.begins(s):
                     whole = None
                     break
@@ -430,12 +506,23 @@ class Spans:
             known = self.over[start, word] = (tuple(ends), whole)
         return known
 
+    def follows(self, held: dict[tuple[str, ...], bool], key: tuple[str, ...], starts: Iterable[str]) -> bool:
+        """Whether a word may begin with one of starts and with the first letter of what follows, the last of key; remembered in held."""
+        known = held.get(key)
+        if known is None:
+            if len(held) > 400_000:
+                held.clear()
+            # Where a letter's form may depend on its neighbours, the whole is to be looked at.
+            c = key[-1]
+            known = held[key] = bool(_changed.match(c)) or (c.isalpha() and any(self.begins(skeleton(x + _plain(c))) for x in starts))
+        return known
+
     def inner(self, word: str) -> Iterator[tuple[int, int]]:
         """Places of words inside a word, but for the word itself."""
         for i in range(len(word)):
             s = ""
             for j in range(i, len(word)):
-                s += skeleton(word[j])
+                s += _alike.get(word[j], word[j])
                 if not self.begins(s):
                     break
                 if j - i + 1 < len(word) and self.is_one(s):
@@ -450,11 +537,15 @@ class Needs(Spans):
         self.often, self.skeletons = often, skeletons
         self.words: dict[str, tuple[str, ...]] = {}
         self.tokens: dict[str, tuple[str, ...]] = {}
+        # By tokens in a row; apart: those that are nothing together. And by what begins the next one.
         self.pairs: dict[tuple[str, str], tuple[tuple[str, ...], tuple[str, ...]]] = {}
+        self.joint: dict[tuple[str, str], tuple[str, str]] = {}
+        self.apart: set[tuple[str, str]] = set()
+        self.behind: dict[tuple[str, ...], bool] = {}
+        self.behind_row: dict[tuple[str, ...], bool] = {}
+        self.more: dict[tuple[tuple[str, ...], str], tuple[tuple[str, ...], tuple[str, ...]]] = {}
         self.clusters: dict[str, tuple[str, ...]] = {}
-        self.joint: dict[tuple[str, str], int] = {}
         self.rows: dict[str, int] = {}
-        self.long: set[tuple[str, str]] = set()
 
     def begins(self, s: str) -> bool:
         return s[:BEGIN] in self.skeletons
@@ -491,76 +582,95 @@ class Needs(Spans):
             known = self.tokens[token] = tuple(asked)
         return known
 
-    def pair(self, a: str, b: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        """What two words in a row ask for together, and what words that go on behind both may begin with; remembered."""
-        known = self.pairs.get((a, b))
+    def remembered(self, held: dict, pair: tuple[str, str], find: Callable) -> tuple | None:
+        """find of a pair, which is set apart if that is nothing."""
+        known = held.get(pair)
         if known is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.further(self.open(a), b)
+            if known := find(*pair):
+                if len(held) > 400_000:
+                    held.clear()
+                held[pair] = known
+            else:
+                if len(self.apart) > 400_000:
+                    self.apart.clear()
+                self.apart.add(pair)
         return known
 
+    def pair(self, a: str, b: str) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
+        """What two tokens in a row ask for together, and what words that go on behind both may begin with; None if nothing."""
+        if not (x := self.beside(a, b)):
+            return None
+        asked, goes_on = self.further(self.open(x[0][3]), x[1][3])
+        return (asked, () if x[1][2] else goes_on) if asked or goes_on else None
+
     def further(self, starts: tuple[str, ...], word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        asked, goes_on = set(), []
-        for start in starts:
-            ends, whole = self.on(start, word)
-            for j in ends:
-                asked.update(self.word(start + word[:j]))
-            if whole:
-                goes_on.append(whole)
-        return tuple(asked), tuple(goes_on)
-
-    def spaced(self, lines: list[str], seen: set, out: set[str]) -> None:
-        """Adds to out what a page asks for; seen: tokens and pairs whose own wants are there already."""
-        words = [x.split() for x in lines]
-        flat = [w for ws in words for w in ws]
-        for t in set(flat) - seen:
-            seen.add(t)
+        """The same of starts and what follows; remembered."""
+        known = self.more.get((starts, word))
+        if known is None:
+            if len(self.more) > 200_000:
+                self.more.clear()
+            asked, goes_on = set(), []
+            for start in starts:
+                ends, whole = self.on(start, word)
+                for j in ends:
+                    asked.update(self.word(start + word[:j]))
+                if whole:
+                    goes_on.append(whole)
+            known = self.more[starts, word] = tuple(asked), tuple(goes_on)
+        return known
+
+    def spaced(self, texts: list[str], out: set[str]) -> None:
+        """Adds to out what pages ask for."""
+        flat = "\n\0\n".join(texts).split()  # no word goes on over the mark between pages
+        for t in set(flat):
             out.update(self.token(t))
-        pairs = set(zip(flat, flat[1:]))
-        for pair in pairs - seen:
-            seen.add(pair)
-            if x := self.beside(*pair):
-                asked, goes_on = self.pair(x[0][3], x[1][3])
+        long: dict[tuple[str, str], tuple[str, ...]] = {}
+        apart = self.apart
+        for pair in {pair for pair in zip(flat, flat[1:]) if pair not in apart}:
+            if known := self.remembered(self.pairs, pair, self.pair):
+                out.update(known[0])
+                if known[1]:
+                    long[pair] = known[1]
+        for k in _places(flat, long):
+            a, b = flat[k], flat[k + 1]
+            starts, last = long[a, b], k + 1
+            if k + 2 == len(flat) or not self.follows(self.behind, (a, b, flat[k + 2][0]), starts):
+                continue
+            while starts and last + 1 < len(flat) and (x := self.beside(flat[last], flat[last + 1])):
+                asked, starts = self.further(starts, x[1][3])
                 out.update(asked)
-                if goes_on and not x[1][2]:
-                    if len(self.long) > 400_000:
-                        self.long.clear(), seen.clear()
-                    self.long.add(pair)
-        if not self.long.isdisjoint(pairs):
-            for k in [k for k, pair in enumerate(zip(flat, flat[1:])) if pair in self.long]:
-                starts, last = self.pair(self.shape(flat[k])[3], self.shape(flat[k + 1])[3])[1], k + 1
-                while starts and last + 1 < len(flat) and (x := self.beside(flat[last], flat[last + 1])):
-                    asked, starts = self.further(starts, x[1][3])
-                    out.update(asked)
-                    last += 1
-        for a, b in zip(words, words[1:]):
-            if a and b and (x := broken(a[-1], b[0])):
-                left, right = _plain(x[0][1] + x[0][2]), _plain(x[1])
-                out.add(f"{left}-{right}")
-                out.update(self.word(left + right))
+                last += 1
+        for text in texts:
+            lines = text.split("\n")
+            for a, b in zip(lines, lines[1:]):
+                if (a := a.rstrip()).endswith(_breaks) and (right := b.split(None, 1)) and (x := broken(a.split()[-1], right[0])):
+                    left, rest = _plain(x[0][1] + x[0][2]), _plain(x[1])
+                    out.add(f"{left}-{rest}")
+                    out.update(self.word(left + rest))
+
+    def row(self, a: str, b: str) -> tuple[str, str] | None:
+        """Two tokens in a row that may be one word, and the word that more may follow, or '' each; None if neither."""
+        if not (x := self.beside(a, b)) or not self.begins(s := skeleton(x[0][3] + x[1][3])):
+            return None
+        known = f"{x[0][3]} {x[1][3]}" if self.is_one(s) else "", "" if x[1][2] else x[0][3] + x[1][3]
+        return known if any(known) else None
 
     def phrases(self, texts: list[str], out: Counter[str]) -> None:
         """Counts words in a row, parted by spaces, that may be one word together; blank lines part them."""
         flat = _blank.sub(" . ", "\n\n".join(texts)).split()
-        long = set()
-        for pair, n in Counter(zip(flat, flat[1:])).items():
-            if not (x := self.beside(*pair)):
+        long: dict[tuple[str, str], str] = {}
+        apart = self.apart
+        for pair, n in Counter([pair for pair in zip(flat, flat[1:]) if pair not in apart]).items():
+            if known := self.remembered(self.joint, pair, self.row):
+                if known[0]:
+                    out[known[0]] += n
+                if known[1]:
+                    long[pair] = known[1]
+        for k in _places(flat, long):
+            a, b = flat[k], flat[k + 1]
+            if k + 2 == len(flat) or not self.follows(self.behind_row, (a, b, flat[k + 2][0]), (long[a, b],)):
                 continue
-            a, b = x[0][3], x[1][3]
-            known = self.joint.get((a, b))
-            if known is None:
-                if len(self.joint) > 400_000:
-                    self.joint.clear()
-                s = skeleton(a + b)
-                known = self.joint[a, b] = self.begins(s) and (1 + self.is_one(s))
-            if known:
-                if known > 1:
-                    out[f"{a} {b}"] += n
-                if not x[1][2]:
-                    long.add(pair)
-        for k in [k for k, pair in enumerate(zip(flat, flat[1:])) if pair in long] if long else ():
-            row, last = self.shape(flat[k])[3] + " " + self.shape(flat[k + 1])[3], k + 1
+            row, last = self.shape(a)[3] + " " + self.shape(b)[3], k + 1
             while last + 1 < len(flat) and (x := self.beside(flat[last], flat[last + 1])):
                 row, last = f"{row} {x[1][3]}", last + 1
                 known = self.rows.get(row)
@@ -574,12 +684,8 @@ class Needs(Spans):
                 if known > 1:
                     out[row] += 1
 
-    def spaceless(self, lines: list[str], seen: set[str], out: set[str]) -> None:
-        for m in _cluster.finditer("^^" + _digit.sub("0", "".join(_stream(lines))) + "^^"):
-            key = m[1] + m[2] + m[3]
-            if key in seen:
-                continue
-            seen.add(key)
+    def spaceless(self, texts: list[str], out: set[str]) -> None:
+        for key in {key for key, _ in _clusters(["".join(_by_characters(t, fold).split()) for t in texts])}:
             known = self.clusters.get(key)
             if known is None:
                 if len(self.clusters) > 200_000:
@@ -600,7 +706,12 @@ class Reader(Spans):
         self.all, self.total, self.space = max(1, total), math.log(max(1, total)), math.log(WORD_RATIO)
         self.fixed: dict[str, tuple[str, int] | None] = {}
         self.tokens: dict[tuple[str, bool], tuple[str | None, bool, bool]] = {}
-        self.links: dict[tuple[str, str], bool] = {}
+        # Tokens that nothing repairs by themselves or parts; tokens in a row that no word spans, and how words may span others, also by what begins the next one.
+        self.plain: set[str] = set()
+        self.apart_pairs: set[tuple[str, str]] = set()
+        self.links: dict[tuple[str, str], tuple[bool, list[str]]] = {}
+        self.firsts: dict[tuple[str, ...], bool] = {}
+        self.behind: dict[tuple[str, ...], bool] = {}
         self.insides: dict[str, list[tuple[int, int, float, str | None]]] = {}
         self.groups: dict[tuple, tuple[list[str], set[int], set[int]]] = {}
         self.clusters: dict[str, str] = {}
@@ -615,7 +726,7 @@ class Reader(Spans):
     def begin(self, counts: dict[str, int]) -> None:
         """Goes on with another lot's counts."""
         self.counts = counts
-        for held in (self.fixed, self.tokens, self.insides, self.groups, self.clusters):
+        for held in (self.fixed, self.tokens, self.plain, self.insides, self.groups, self.clusters):
             if len(held) > 200_000:
                 held.clear()
         if len(self.known) > 500_000:
@@ -632,7 +743,7 @@ class Reader(Spans):
                 self.starts.update(s[:i] for i in range(1, min(len(s), BEGIN) + 1))
             self.alike.setdefault(s, []).append(w)
         if new:  # what may begin a word isn't what it was
-            for held in (self.held, self.over, self.pairs, self.links):
+            for held in (self.held, self.over, self.pairs, self.apart_pairs, self.links, self.firsts, self.behind):
                 held.clear()
 
     def begins(self, s: str) -> bool:
@@ -708,20 +819,39 @@ class Reader(Spans):
             known = self.pairs[a, b] = over, goes_on
         return known
 
-    def linked(self, a: str, b: str) -> bool:
-        """Whether words may span the space between two tokens; remembered."""
+    def linked(self, a: str, b: str) -> tuple[bool, list[str]]:
+        """Whether words may span the space between two tokens, and what may go on behind both; remembered."""
         known = self.links.get((a, b))
         if known is None:
-            if len(self.links) > 400_000:
-                self.links.clear()
+            if (a, b) in self.apart_pairs:
+                return False, []
+            if len(self.links) + len(self.apart_pairs) > 400_000:
+                self.links.clear(), self.apart_pairs.clear()
             x = self.beside(a, b)
-            known = self.links[a, b] = bool(x) and any(self.pair(x[0][3], x[1][3]))
+            if x and not self.follows(self.firsts, (x[0][3], b[0]), self.open(x[0][3])):
+                x = None
+            over, goes_on = self.pair(x[0][3], x[1][3]) if x else ((), [])
+            known = bool(over), [] if x and x[1][2] else goes_on
+            if any(known):
+                self.links[a, b] = known
+            else:
+                self.apart_pairs.add((a, b))
         return known
 
+    def reach(self, flat: list[str], k: int, end: int) -> int:
+        """The last token before end that a word may hold which begins in token k; k if it holds no other."""
+        if k + 1 >= end:
+            return k
+        over, goes_on = self.linked(flat[k], flat[k + 1])
+        last = k + 1 if over else k
+        if goes_on and k + 2 < end and self.follows(self.behind, (flat[k], flat[k + 1], flat[k + 2][0]), goes_on):
+            return max((x for _, x, _ in self.spans(flat, k, end)), default=k)
+        return last
+
     def spans(self, flat: list[str], k: int, end: int) -> Iterator[tuple[int, int, int]]:
         """Words that begin in token k and end in a later one before end: (place in k, token of the end, place in it)."""
         last = k + 1
-        if last >= end or not self.linked(flat[k], flat[last]):
+        if last >= end or not any(self.linked(flat[k], flat[last])):
             return
         x, y = self.shape(flat[k]), self.shape(flat[last])
         over, goes_on = self.pair(x[3], y[3])
@@ -865,36 +995,43 @@ class Reader(Spans):
     def spaced(self, lines: list[str]) -> tuple[list[list[str]], set[int], set[int]]:
         """Words of each line as they read, lines with misread words, and lines that end in a broken word."""
         words = [x.split() for x in lines]
+        flat = [w for ws in words for w in ws]
         bad: set[int] = set()
         hyphens: set[int] = set()
-        places: list[tuple[int, int]] = []
-        tokens: list[tuple[str, bool, bool]] = []
-        walls = [0]  # no word goes on over a blank line
-        for i, ws in enumerate(words):
-            if not ws and walls[-1] != len(tokens):
-                walls.append(len(tokens))
-            for k, w in enumerate(ws):
-                after = ws[k + 1] if k + 1 < len(ws) else next((x[0] for x in words[i + 1 :] if x), "")
-                tokens.append((w, after[:1].islower() or after[:1].isdigit(), k == len(ws) - 1))
-                places.append((i, k))
-        walls.append(len(tokens))
-        flat, links, known = [w for ws in words for w in ws], self.links, self.tokens
+        first = [0, *accumulate(map(len, words))]  # tokens before each line, and all
+        walls = sorted({n for n, ws in zip(first, words) if not ws} | {len(flat)})  # no word goes on over a blank line
+        ends = {n + len(ws) - 1 for n, ws in zip(first, words) if ws}
+        first.pop()
+
+        def place(k: int) -> tuple[int, int]:
+            i = bisect_right(first, k) - 1
+            return i, k - first[i]
+
+        def goes_on(k: int) -> bool:
+            after = flat[k + 1][0] if k + 1 < len(flat) else ""
+            return after.islower() or after.isdigit()
+
+        plain, apart = self.plain, self.apart_pairs
+        looked_at = {k for k, t in enumerate(flat) if t not in plain}
+        looked_at.update([k for k, pair in enumerate(zip(flat, flat[1:])) if pair not in apart])
+        looked_at.update(k for k in ends if flat[k].endswith(_breaks))
         odd: list[tuple[int, int]] = []
-        for begin, end in zip(walls, walls[1:]):
-            for k in range(begin, end):
-                t, goes_on, ends = tokens[k]
-                new, _, loose = known.get((t, goes_on)) or self.token(t, goes_on)
+        for k in sorted(looked_at):
+            t, end = flat[k], walls[bisect_right(walls, k)]
+            loose = False
+            if t not in plain:
+                new, _, loose = self.token(t, goes_on(k))
                 if new is not None:
-                    i, j = places[k]
+                    i, j = place(k)
                     bad.add(i)
                     words[i][j] = new
-                last = k
-                if k + 1 < end and links.get((t, flat[k + 1])) is not False:
-                    last = max((x for _, x, _ in self.spans(flat, k, end)), default=k)
-                if ends and k + 1 < end and broken(t, tokens[k + 1][0]):
-                    last = max(last, k + 1)
-                if last > k or loose:
-                    odd.append((k, last))
+                elif not loose and all(x is None and not y for x, _, y in (self.token(t, False), self.token(t, True))):
+                    plain.add(t)
+            last = self.reach(flat, k, end)
+            if k in ends and k + 1 < end and t.endswith(_breaks) and broken(t, flat[k + 1]):
+                last = max(last, k + 1)
+            if last > k or loose:
+                odd.append((k, last))
         at = 0
         while at < len(odd):
             begin, last = odd[at]
@@ -902,11 +1039,12 @@ class Reader(Spans):
             while at < len(odd) and odd[at][0] <= last:
                 last = max(last, odd[at][1])
                 at += 1
-            text, misread, dropped = self.decode(tokens[begin : last + 1])
+            text, misread, dropped = self.decode([(flat[k], goes_on(k), k in ends) for k in range(begin, last + 1)])
             for k, t in enumerate(text, begin):
-                words[places[k][0]][places[k][1]] = t
-            hyphens.update(places[begin + k][0] for k in dropped)
-            bad.update(places[begin + k][0] for k in misread)
+                i, j = place(k)
+                words[i][j] = t
+            hyphens.update(place(begin + k)[0] for k in dropped)
+            bad.update(place(begin + k)[0] for k in misread)
         return words, bad, hyphens
 
     def cluster(self, key: str) -> str:
@@ -939,10 +1077,10 @@ class Reader(Spans):
         """Lines of a script without spaces as they read, and which have misread characters."""
         parts = _stream(lines)
         ends, bad = list(accumulate(map(len, parts))), set()
-        for m in _cluster.finditer("^^" + _digit.sub("0", "".join(parts)) + "^^"):
-            best = self.cluster(m[1] + m[2] + m[3])
-            if best != m[2]:
-                for i, (c, o) in enumerate(zip(m[2], best), m.start(2) - 2):
+        for key, begin in _clusters(["".join(parts)]):
+            best = self.clusters.get(key) or self.cluster(key)
+            if best != key[2:-2]:
+                for i, (c, o) in enumerate(zip(key[2:-2], best), begin):
                     if c != o:
                         n = bisect_right(ends, i)
                         k = i - ends[n] + len(parts[n])
@@ -957,17 +1095,22 @@ class Reader(Spans):
             (units, bad), glue = self.spaceless(own), ""
         else:
             words, bad, hyphens = self.spaced(own)
-            units, glue = [" ".join(w for w in ws if w) for ws in words], " "
+            units, glue = [" ".join(w for w in ws if w) for ws in words] if paragraphs_too else [], " "
         found = [(i + 1, kind) for i, kind in kinds.items()] + [(body[i] + 1, "misread") for i in bad] + [(body[i] + 1, "hyphen") for i in hyphens]
         return sorted(found), "\n\n".join(glue.join(u for u in units[a:b] if u) for a, b in paragraphs(own, units) if any(units[a:b])) if paragraphs_too else None
 
 
+@lru_cache(10_000)
+def _title_key(title: str) -> str:
+    return line_key(title)
+
+
 def outline(text: str, running: set[int], wide: set[int], title: str | None) -> tuple[list[str], dict[int, str], list[int]]:
     """A page's lines, kinds of those that aren't its own text, by place, and the places of those that are."""
     lines = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
     full = [i for i, x in enumerate(lines) if x.strip()]
     kinds: dict[int, str] = {}
-    own_title = line_key(title) if title else ""
+    own_title = _title_key(title) if title else ""
 
     def outer(i: int, outermost: bool) -> str | None:
         if page_number(lines[i], outermost):
@@ -1110,11 +1253,13 @@ def _asked(scanned: DataFrame, sent: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needs = Needs(*map(Bits, sent.value))
         for batch in batches:
-            lots: dict[int, tuple[set[str], set[str]]] = {}
+            lots: dict[int, tuple[list[str], list[str]]] = {}
             for lot, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = [x[:-1] if x.endswith("\r") else x for x in t.split("\n")]
-                (needs.spaceless if _cjk.search(t) else needs.spaced)(lines, *lots.setdefault(lot, (set(), set())))
-            for lot, (_, words) in lots.items():
+                lots.setdefault(lot, ([], []))[bool(_cjk.search(t))].append(t)
+            for lot, (spaced, spaceless) in lots.items():
+                words: set[str] = set()
+                needs.spaced(spaced, words)
+                needs.spaceless(spaceless, words)
                 yield pa.RecordBatch.from_arrays([pa.array([lot] * len(words), pa.int64()), pa.array(words, pa.string())], names=["lot", "word"])
 
     return scanned.select("lot", "text").mapInArrow(run, "lot bigint, word string").distinct()

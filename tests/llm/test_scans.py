@@ -166,3 +166,34 @@ def test_very_long_words_and_rows_of_letters_are_read():
     assert max(map(len, reader.starts)) <= scans.BEGIN
     for text, read in ((f"the {word[:900]} {word[900:]} of", f"the {word} of"), ("m e t e r of " * 500, "meter of " * 500)):
         assert " ".join(w for w in reader.spaced([text])[0][0] if w) == read.strip()
+
+
+def test_what_is_done_by_page_or_character_is_what_is_done_by_line():
+    import random
+    import unicodedata
+
+    rng = random.Random(7)
+    letters = "aeirnmlcfot0158 .,:'  đươÐéß・ー一口力ﾊﾞが（）１２Ａ①㌔½²¨´゙́​­﻿ᄀ가힣Ａ‐−ʼ|!@"
+    for _ in range(1500):
+        lines = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
+        text = rng.choice(["\n", "\r\n", "\r"]).join(lines)
+        assert scans._by_characters(text, scans.fold) == scans.fold(text)
+        assert scans._by_characters(text, scans._nfkc) == unicodedata.normalize("NFKC", text)
+        assert scans._line_keys(lines) == [scans.line_key(x) for x in lines]
+        assert [w for t in text.split() for w in scans._word.findall(scans._plain(t))] == scans._word.findall(scans._plain(text))
+
+
+def test_rows_of_words_are_looked_at_once():
+    from collections import Counter
+
+    calls = []
+
+    class Counted(scans.Needs):
+        def beside(self, a, b):
+            calls.append((a, b))
+            return super().beside(a, b)
+
+    needs = Counted(scans.Bits(b"\xff" * 8), scans.Bits(b"\0" * 8))
+    for _ in range(3):
+        needs.phrases(["the water meter of the town"] * 5, Counter())
+    assert len(calls) == len(set(calls))
