@@ -1199,8 +1199,9 @@ def read_scans(pages: DataFrame, key: str, document: str, text: str, status: str
         notes = notes.join(titles.select(F.col("document"), "title").dropDuplicates(["document"]), "document", "full")
     else:
         notes = notes.withColumn("title", F.lit(None).cast("string"))
-    size = full.agg(F.avg(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    lot_pages = max(1, min(LOT_PAGES, int(LOT_BYTES / (size["bytes"] or 1))))
+    size = full.agg(F.avg(F.when(F.col("scanned"), F.octet_length("text"))).alias("bytes"), F.count("*").alias("n"), F.count_if("scanned").alias("scanned")).first()
+    # Only scanned pages are in lots: their places are the further apart the fewer they are, up to a bound, as they may lie together.
+    lot_pages = max(1, int(min(LOT_PAGES, int(LOT_BYTES / (size["bytes"] or 1))) * min(4, size["n"] / (size["scanned"] or 1))))
     total = vocabulary.filter(~F.col("word").startswith("\t")).agg(F.sum("n")).first()[0] or 0
     scanned = scanned.withColumn("lot", F.floor(F.col("place") / lot_pages))
     bits = scanned.sparkSession.sparkContext.broadcast(_bit_sets(vocabulary.filter(~F.col("word").startswith("\t"))))
